@@ -139,3 +139,23 @@ def components(edges: DataFrame) -> DataFrame:
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = now
+
+
+def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Verified links (a, b), a > b, that connect what all candidate pairs of the buckets (band, rep, first) would.
+
+    first is the least rep of a band's bucket. Every rep is first compared with it; what that links is
+    contracted, and only reps of a bucket that are still in different components are compared in a
+    second pass. So a group of copies never becomes all of its pairs, and no link between components is lost.
+    """
+    star = staged(met.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    links = staged(verify(star), "links")
+    if star.count() == links.count():
+        return links
+    label = staged(components(links), "labels").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    mine = staged(met.join(label, "rep", "left").select("band", "rep", F.coalesce("part", "rep").alias("part")), "parts")
+    open_ = mine.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band")
+    left = staged(mine.join(open_, "band", "left_semi"), "open")
+    x, y = left.select("band", F.col("rep").alias("a"), F.col("part").alias("pa")), left.select("band", F.col("rep").alias("b"), F.col("part").alias("pb"))
+    rest = x.join(y, "band").where("a > b AND pa != pb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    return links.unionByName(verify(staged(rest, "pairs")))

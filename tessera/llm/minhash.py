@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, components, restrict, staged
+from .common import arrow_columns, bucket_links, components, restrict, staged
 
 SHINGLE = 5
 #: A pair of similarity 0.75 agrees in all registers of at least one band but once in 10^8.
@@ -164,10 +164,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """(key, n_shingles, component_id, kept) of every document.
 
     Documents of equal sets are one class, known by its smallest key. Classes meet in the bands of
-    their sketches. In each band's bucket every class is first compared with the smallest one; what this
-    links is contracted, and only classes of a bucket that are still in different components are
-    compared in a second pass, so that a group of copies never becomes all of its pairs and no link
-    between components is lost. Links are confirmed on full sets.
+    their sketches (see bucket_links for large buckets), and links are confirmed on full sets.
 
     Null and empty texts have empty sets and are linked with nothing; a null key is its own
     component and kept; rows that share a key are one document; an empty table gives no rows; other
@@ -182,17 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     bands = arrow_columns(sketches, ["regs"], [T.StructField("bands", T.ArrayType(T.LongType()))], _bands, keep=["rep"]).select("rep", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("band", "first")
     met = staged(bands.join(shared, "band"), "buckets")
-    star = staged(met.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    links = staged(near_pairs(star, sketches, docs, percent, key, text), "links")
-    if star.count() > links.count():
-        label = staged(components(links), "labels")
-        named = lambda df, c, out: df.join(label.withColumnRenamed("node", c).withColumnRenamed("component", out), c, "left").withColumn(out, F.coalesce(out, c))
-        mine = staged(named(met, "rep", "part").select("band", "rep", "part"), "parts")
-        open_ = mine.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band")
-        left = staged(mine.join(open_, "band", "left_semi"), "open")
-        x, y = left.select("band", F.col("rep").alias("a"), F.col("part").alias("pa")), left.select("band", F.col("rep").alias("b"), F.col("part").alias("pb"))
-        rest = x.join(y, "band").where("a > b AND pa != pb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-        links = links.unionByName(near_pairs(staged(rest, "pairs"), sketches, docs, percent, key, text))
+    links = bucket_links(met, lambda pairs: near_pairs(pairs, sketches, docs, percent, key, text))
     label = staged(components(links).withColumnRenamed("node", "rep"), "labels")
     out = all_.select(key, "n_shingles", "set_key").join(copies, "set_key", "left").withColumn("rep", F.coalesce("rep", key))
     out = out.join(label, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))

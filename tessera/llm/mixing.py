@@ -11,8 +11,10 @@ from .common import group_key, running, unit
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that a source is dealt in for each time it is taken; a power of two.
 BLOCKS = 1024
-#: Selection rounds: each fills what the one before left open with documents that still fit.
-ROUNDS = 4
+#: Selection rounds: each fills what the one before left open with documents that still fit. The first FRESH
+#: take documents not taken yet, the others also take documents again, up to the cap; in the last one a
+#: source adds the one document that brings it nearest to its target.
+ROUNDS, FRESH = 7, 3
 
 
 def count_words(text: Column) -> Column:
@@ -57,8 +59,8 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     """docs with source_size, target and copies, an array of (epoch, shard, place), one entry for each time a document is taken.
 
     Sources by code point, null last, have the weights in turn. A source whose target is k whole
-    times its size plus a rest is taken k times; the rest is filled in ROUNDS rounds, each in the
-    order of a new permutation, up to the last document that fits. For each (source, epoch) BLOCKS blocks
+    times its size plus a rest is taken k times; the rest is filled in ROUNDS rounds of permuted whole
+    documents, each up to the last one that fits. For each (source, epoch) BLOCKS blocks
     of permuted documents are the quota; a tree splits all quotas among the shards, and shards draw
     disjoint ranges of permuted blocks. place orders the rows of a shard. One row for each source
     passes through the driver: the same size as a list of weights. Reruns agree.
@@ -69,7 +71,7 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     spark = docs.sparkSession
     docs = docs.drop("source_size", "target", "copies").withColumn("_k", group_key(F.col(source)))
     hashes = [F.xxhash64(F.lit(seed + j), F.col(key).cast("string")) for j in range(ROUNDS)]
-    narrow = docs.select("_k", F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"), *[h.alias(f"_h{j}") for j, h in enumerate(hashes)])
+    narrow = docs.select("_k", F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"), F.col(key))
     stats = sorted(narrow.groupBy("_k").agg(F.max("_src").cast("string").alias("s"), F.sum("_size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda r: (r.s is None, [ord(c) for c in r.s or ""]))
     sizes = [r.n or 0 for r in stats]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(stats))], cap)
@@ -78,40 +80,52 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     cuts: dict[str, list[tuple[int, int]]] = {r._k: [] for r in stats}
     rows = {r._k: r.rows for r in stats}
 
-    def chosen(frame: DataFrame, columns: list[Column]) -> Column:
-        """Whether an earlier round has taken a row: it fitted, and its hash is up to the cut."""
-        hit = F.lit(False)
-        for j in range(len(columns)):
-            hit = hit | ((F.col(f"_fit{j}") >= F.col("_size")) & (columns[j] <= F.col(f"_cut{j}")))
-        return hit
-
-    def table(rounds: int) -> DataFrame:
-        kinds = ", ".join(["_k string", "_rows long", "_rest long", *(f"_fit{j} long, _cut{j} long" for j in range(rounds))])
-        return spark.createDataFrame([(k, rows[k], rest[k], *(x for c in cuts[k] for x in c)) for k in rows], kinds)
-
-    for j in range(ROUNDS if any(rest.values()) else 0):
-        open_ = narrow.join(table(j), "_k").where((F.col("_size") <= F.col("_rest")) & (F.col("_size") > 0))
-        open_ = open_.where(~chosen(open_, [F.col(f"_h{i}") for i in range(j)])) if j else open_
-        # The unsigned place in the order and the signed hash agree once the sign bit is flipped.
-        h = F.col(f"_h{j}")
-        run = running(open_, "_k", unit(h.bitwiseXOR(F.lit(-(1 << 63)))), F.col("_rows"), [h], F.col("_size"), "_sum", ties=True)
-        got = {r._k: r for r in run.where("_sum <= _rest").groupBy("_k").agg(F.max(h).alias("cut"), F.max("_sum").alias("got")).collect()}
-        for k in rows:
-            cuts[k].append((rest[k], got[k].cut if k in got else -(1 << 63)))
-            if k in got:
-                rest[k] -= got[k].got
-        if not any(rest.values()):
-            break
-    rounds = max([0, *(len(c) for c in cuts.values())])
-    epochs = [k + 1 for k in whole]
+    def taken(upto: int) -> list[Column]:
+        """How often each of the first rounds takes a row (0 or 1)."""
+        out: list[Column] = []
+        for j in range(upto):
+            before = sum(out, F.lit(0))
+            open_ = before == 0 if j < FRESH else F.col("_whole") + before < cap
+            fits = (F.col("_size") > 0) & (F.col("_size") <= F.col(f"_fit{j}")) & open_
+            out.append(F.when(fits & (hashes[j] <= F.col(f"_cut{j}")) & (hashes[j] >= F.col(f"_from{j}")), 1).otherwise(0))
+        return out
+
+    def columns(rounds: int) -> str:
+        return "".join(f", _fit{j} long, _from{j} long, _cut{j} long" for j in range(rounds))
+
+    nothing = (1 << 63) - 1, -(1 << 63)
+    names = {r._k: i for i, r in enumerate(stats)}
+    j = 0
+    while j < ROUNDS and any(rest.values()):
+        per = [(k, rows[k], rest[k], whole[names[k]], *(x for c in cuts[k] for x in c)) for k in rows]
+        open_ = narrow.join(spark.createDataFrame(per, "_k string, _rows long, _rest long, _whole int" + columns(j)), "_k")
+        sofar = sum(taken(j), F.lit(0))
+        open_ = open_.where((F.col("_size") > 0) & (sofar == 0 if j < FRESH else F.col("_whole") + sofar < cap))
+        h = hashes[j]
+        if j < ROUNDS - 1:
+            # the place in the order is the hash as an unsigned number, its sign bit flipped
+            open_ = open_.where("_size <= _rest").withColumn("_h", h)
+            run = running(open_, "_k", unit(F.col("_h").bitwiseXOR(F.lit(-(1 << 63)))), F.col("_rows"), ["_h"], F.col("_size"), "_sum", ties=True)
+            got = {r._k: r for r in run.where("_sum <= _rest").groupBy("_k").agg(F.max("_h").alias("cut"), F.max("_sum").alias("got")).collect()}
+            for k in rows:
+                cuts[k].append((rest[k], nothing[1], got[k].cut) if k in got else (0, *nothing))
+                rest[k] -= got[k].got if k in got else 0
+        else:
+            near = open_.where("_size < 2 * _rest").withColumn("_h", h).groupBy("_k").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_rest")).alias("d"), "_h", "_size")).alias("n"))
+            got = {r._k: r.n for r in near.collect()}
+            for k in rows:
+                cuts[k].append((got[k]._size, got[k]._h, got[k]._h) if k in got else (0, *nothing))
+        j += 1
+    rounds = j
+    epochs = [max(1, cap)] * len(whole)
     kinds = [(i, e) for i in range(len(stats)) for e in range(epochs[i])]
     dealt = split_quotas([BLOCKS] * len(kinds), shards, seed).cumsum(axis=0) if kinds else np.zeros((shards, 0))
     bounds = [[[int(x) for x in dealt[:, c]] for c, (i, _) in enumerate(kinds) if i == s] for s in range(len(stats))]
-    spec = ", ".join(["_k string", "source_size long", "target double", "_whole int", "_bounds array<array<int>>", *(f"_fit{j} long, _cut{j} long" for j in range(rounds))])
+    spec = "_k string, source_size long, target double, _whole int, _bounds array<array<int>>" + columns(rounds)
     per_source = spark.createDataFrame([(r._k, sizes[i], targets[i], whole[i], bounds[i], *(x for c in cuts[r._k] for x in c)) for i, r in enumerate(stats)], spec)
     out = docs.join(per_source, "_k").withColumn("_size", F.col(size).cast("long"))
-    out = out.withColumn("_n", F.col("_whole") + (chosen(out, hashes[:rounds]).cast("int") if rounds else F.lit(0)))
-    out = out.withColumn("_n", F.when(F.col("_size") > 0, F.col("_n")).otherwise(F.greatest("_whole", F.lit(1)) if cap >= 1 else F.lit(0)))
+    out = out.withColumn("_n", F.col("_whole") + sum(taken(rounds), F.lit(0)))
+    out = out.withColumn("_n", F.when(F.col("_size") > 0, F.col("_n")).otherwise(F.greatest("_whole", F.lit(1))))
     drawn = F.xxhash64(F.lit(seed), F.lit("block"), F.col(key).cast("string"))
 
     def copy(e: Column) -> Column:
@@ -120,9 +134,9 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
         shard = F.size(F.filter(F.get(F.col("_bounds"), e), lambda x: x <= block))
         return F.struct(e.alias("epoch"), F.least(shard, F.lit(shards - 1)).alias("shard"), place.alias("place"))
 
-    # range, not sequence(0, n - 1): that would count down for n = 0
+    # sequence(0, n - 1) alone would count down for n = 0
     copies = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), copy)).otherwise(F.array().cast("array<struct<epoch:int,shard:int,place:bigint>>"))
-    return out.withColumn("copies", copies).drop("_k", "_whole", "_bounds", "_size", "_n", *(f"_fit{j}" for j in range(rounds)), *(f"_cut{j}" for j in range(rounds)))
+    return out.withColumn("copies", copies).drop("_k", "_whole", "_bounds", "_size", "_n", *(f"_{n}{j}" for n in ("fit", "from", "cut") for j in range(rounds)))
 
 
 def mixed_rows(plan: DataFrame) -> DataFrame:

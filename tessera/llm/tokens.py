@@ -18,18 +18,20 @@ from .common import small_batches
 
 END_ID = 0
 #: Distinct pieces whose ids a task remembers.
-MEMO = 400_000
-_ODD_SPACE = re.compile(r"[^\S \t\n\r]")
-_PIECE = re.compile(r"\s*\S+|\s+")
+MEMO = 1_000_000
+_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+#: White space and a word up to punctuation or white space; white space and other visible characters; white space.
+_PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s,.;:!?|]|\Z)|\s*\S+|\s+")
+_encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder(dict):
     """Ids of texts as bytes, remembered by piece.
 
-    A byte-level BPE splits texts at every change from visible characters to white space before it
-    merges, and looks at nothing across it. So a text's ids are those of its pieces (white space, then
-    visible characters), each encoded by the library once. Texts with other white space than blank,
-    tab and line ends are encoded as a whole.
+    A byte-level BPE splits texts at every change from visible characters to white space, and from
+    letters to punctuation, before it merges, and looks at nothing across it. So a text's ids are those of its pieces (white space, then
+    visible characters), each encoded by the library once. Texts with the four separators that only
+    Python takes for white space are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -58,6 +60,13 @@ class PieceEncoder(dict):
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker; its memory serves all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
@@ -84,7 +93,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id",
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("width", T.IntegerType())])
 
     def write(batches):
-        enc, part = PieceEncoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         name, at, offsets, keys = f"tokens-{part:06d}-{uuid.uuid4().hex[:12]}", 0, [np.zeros(1, "<i8")], None
         store, path = _filesystem(out)
         store.create_dir(path, recursive=True)

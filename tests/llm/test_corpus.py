@@ -1,0 +1,287 @@
+"""Corpus operators against brute force on small tables with the odd cases: nulls, empty and long texts, ties, repeats."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import chat, common, decontaminate, lines, minhash, mixing, pii, quality, queries, sharding, suffix, tokens
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def words(n, rng, vocab=400):
+    return [f"w{rng.randrange(vocab)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    out, base = [], [" ".join(words(120, rng, 5000)) for _ in range(12)]
+    for i in range(90):
+        t = rng.choice(base).split()
+        for _ in range(rng.choice([0, 0, 1, 3, 8, 20])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        out.append((i, " ".join(t)))
+    out += [(100, None), (101, ""), (102, "  \n\t "), (103, "One two"), (104, "one  TWO"), (105, "a"), (106, "Ünïcode é " * 30), (107, " ".join(words(20_000, rng, 10**6)))]
+    out += [(200 + i, "common passage " + " ".join(f"p{j}" for j in range(60)) + " " + " ".join(words(40, rng, 10**6))) for i in range(12)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, f"s{i % 3}" if i % 7 else None, 1, "clash") for i, t in rows], "doc_id long, text string, source string, n_words int, SHARD string").repartition(5)
+
+
+def shingles(t):
+    w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in SPACE.findall(t or "")]
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_near_duplicates(docs, rows):
+    sets = {i: shingles(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
+    assert {i: (len(s), root(i), root(i) == i) for i, s in sets.items()} == {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()}
+
+
+def test_sketches_merge_and_estimate():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 63, 900, np.uint64), rng.integers(0, 1 << 63, 900, np.uint64)
+    b[:600] = a[:600]
+    ra, rb = minhash.registers(a), minhash.registers(b)
+    assert (minhash.merge(ra, rb) == minhash.registers(np.union1d(a, b))).all()
+    assert abs(minhash.estimate(ra[None], rb[None], np.array([900.0]), np.array([900.0]))[0] - 0.5) < 0.15
+
+
+def test_remove_repeats(docs, rows):
+    def brute(texts, n):
+        data = [(t or "").encode() for t in texts]
+        count = Counter(d[i : i + n] for d in data for i in range(len(d) - n + 1))
+        for d in data:
+            gone = bytearray(len(d))
+            for i in range(len(d) - n + 1):
+                if count[d[i : i + n]] > 1:
+                    gone[i : i + n] = b"\1" * n
+            kept = bytes(c for c, g in zip(d, gone) if not g)
+            yield len(d), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()
+
+    short = [(i, t) for i, t in rows if i != 107] + [(300, "ab" * 400), (301, "z" * 230), (302, "z" * 200), (303, "q" * 199), (304, "q" * 199)]
+    frame = docs.sparkSession.createDataFrame(short, "doc_id long, text string").repartition(4)
+    want = dict(zip([i for i, _ in short], brute([t for _, t in short], 200), strict=True))
+    for hot in (suffix.HOT, 1):
+        suffix.HOT, was = hot, suffix.HOT
+        got = {r[0]: tuple(r[1:]) for r in suffix.remove_repeats(frame).collect()}
+        suffix.HOT = was
+        assert got == want
+    kept = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(frame, with_text=True).collect()}
+    assert kept == want
+
+
+def test_repeats_in_repeated_rows(spark):
+    frame = spark.createDataFrame([(1, "k" * 250), (1, "k" * 250), (None, "m" * 300), (2, "short")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_removed) for r in suffix.remove_repeats(frame).collect()) == [(0, 300), (1, 250), (1, 250), (2, 0)]
+
+
+def test_decontaminate(spark, docs, rows):
+    items = [(1, " ".join(rows[0][1].split()[5:40])), (2, "one two"), (3, None), (4, "!!"), (None, "p3 p4 p5"), (10, "ONE, two"), (10, "one two")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    tokens_of = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    for limit in (decontaminate.BLOCK_BYTES, 40):
+        decontaminate.BLOCK_BYTES, was = limit, decontaminate.BLOCK_BYTES
+        got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.find_contamination(docs, bench).collect()}
+        decontaminate.BLOCK_BYTES = was
+        for i, t in rows:
+            w, hit, found = tokens_of(t), set(), set()
+            for item, it in items:
+                iw = tokens_of(it)
+                for s in range(max(1, len(iw) - 9)) if iw else ():
+                    win = iw[s : s + 10]
+                    for p in range(len(w) - len(win) + 1):
+                        if w[p : p + len(win)] == win:
+                            hit |= set(range(p, p + len(win)))
+                            found |= {str(item)} if item is not None else set()
+            assert got[i] == (len(w), len(hit), sorted(found)), i
+
+
+def test_pii_matches_patterns():
+    rng = random.Random(5)
+    cues = pii.automaton()
+    pats = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def ok(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in s.split(".")), "card": lambda: 16 <= len(d) <= 19 and pii.luhn(d), "phone": lambda: 8 <= len(d) <= 15}[kind]()
+
+    bits = ["4845168114407329", "a@b.c", "@", ".", "1.2.3.4", "+1 (017) 555-7713", " ", "-", "x", "é", "256", "0", "97.51.17.173", "4417 7442 8035 1547", "ü@q.de", "+", "٣", "\n"]
+    for _ in range(3000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        want = [(k, m.start(), m.end()) for k, p in pats.items() for m in re.finditer(p, t) if ok(k, m[0])]
+        assert [s for s in pii.find_spans(t, cues) if s[0] in pii.BASE] == want, t
+    assert ("iban", 6, 28) in pii.find_spans("IBAN: DE89370400440532013000", cues)
+    assert ("account", 15, 23) in pii.find_spans("account number 12345678", cues)
+    assert pii.mask_text("mail a@b.de now", [{"kind": "email", "start": 5, "end": 11}]) == "mail <email> now"
+
+
+def test_mix(spark, docs):
+    sized = docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size"))
+    plan = mixing.mix(sized).collect()
+    assert len(plan) == docs.count() and sorted(map(str, plan)) == sorted(map(str, mixing.mix(sized.repartition(2)).collect()))
+    taken, target, size, most = Counter(), {}, Counter(), 0
+    for r in plan:
+        taken[r.source] += r.size * len(r.copies)
+        target[r.source], size[r.source] = r.target, size[r.source] + r.size
+        assert len(r.copies) <= 3 and all(0 <= c.shard < 16 for c in r.copies) and len({c.epoch for c in r.copies}) == len(r.copies)
+    assert abs(sum(target.values()) - sum(size.values())) < 1e-6
+    for s in target:
+        assert abs(taken[s] - target[s]) <= (25 + 0.02 * target[s] if all(r.size < 1000 for r in plan if r.source == s) else 20_000 / 2)
+    assert mixing.mixed_rows(mixing.mix(sized)).count() == sum(len(r.copies) for r in plan)
+    assert mixing.water_fill([100, 100, 1], [1, 2, 3], 3) == pytest.approx([66, 132, 3])
+    quotas = mixing.split_quotas([100, 7, 0, 40], 8, 1)
+    assert quotas.sum(axis=0).tolist() == [100, 7, 0, 40] and quotas.sum(axis=1).max() - quotas.sum(axis=1).min() <= 2
+
+
+def test_interleave(spark, docs):
+    placed = sharding.interleave(docs.select("doc_id", "source"), 7).collect()
+    n = docs.count()
+    per = defaultdict(list)
+    for r in placed:
+        per[r.shard].append(r)
+    assert sorted(per) == list(range(7)) and max(map(len, per.values())) - min(map(len, per.values())) <= 1 and len(placed) == n
+    for shard in per.values():
+        assert sorted(r.slot for r in shard) == list(range(len(shard)))
+    for s in {r.source for r in placed}:
+        all_ = sum(r.source == s for r in placed)
+        assert all(abs(sum(r.source == s for r in x) - all_ / 7) <= 2 for x in per.values())
+
+
+def test_chat_round_trip(spark):
+    odd = ["<|end|>\n", "<|user|>x", "a\\", "\\|<|", None, "", "line\nline", "<", "|>", "é" * 5000]
+    turns = [(1, i, r, t) for i, (r, t) in enumerate((r, t) for t in odd for r in ("user", "assistant", "ro|>le", None))] + [(None, 0, "assistant", "x"), (2, None, "user", "y"), (2, None, "user", "y")]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1))
+    got = {r.conv_id: r for r in chat.read_chats(chat.format_chats(chat.turns_from_rows(table))).withColumn("lost", chat.loss_text(F.col("formatted"), F.col("loss"))).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [(r or "", t or "") for _, _, r, t in turns[:-3]]
+    assert got[1].lost == "".join(t or "" for _, _, r, t in turns[:-3] if r == "assistant")
+    assert len(got[2].turns) == 2 and got[None].lost == "x"
+
+
+def test_chat_layouts(spark):
+    records = ['{"messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}', '{"conversations":[{"from":"human","value":"a"},{"from":"gpt","value":"b"}]}', '{"prompt":"a","completion":"b"}', '{"instruction":"a","input":"","output":"b"}', '{"turn":0,"role":"user","text":"a"}', '{"other":1}', None, "not json"]
+    rows = chat.turns_from_json(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.conv_id].append((r.turn, r.role, r.text))
+    both = [(0, "user", "a"), (1, "assistant", "b")]
+    assert all(sorted(by[i]) == both for i in range(4)) and by[4] == both[:1] and all(by[i] == [(None, None, None)] for i in (5, 6, 7))
+
+
+def test_quality(docs, rows, spark):
+    got = {r.doc_id: r for r in quality.ledger(docs).collect()}
+    more = [(1, "a b c d e a b c d e"), (2, "x x x x x x"), (3, "#$ <>|&%*\nq\n\nq"), (4, None), (5, "   a"), (6, "l\nl\nl\nl\nl\nl")]
+    got |= {1000 + r.doc_id: r for r in quality.ledger(spark.createDataFrame(more, "doc_id long, text string")).collect()}
+    for i, t in [*rows, *((1000 + i, t) for i, t in more)]:
+        t = t or ""
+        w = SPACE.findall(t)
+        win = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+        c = Counter(win)
+        rep = {p for j, x in enumerate(win) if c[x] > 1 for p in range(j, j + 5)}
+        lines_ = [x for x in t.split("\n") if SPACE.search(x)]
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines_) - len(set(lines_)), len(rep)), i
+        assert bool(r.rule_bits & 3) == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
+    assert docs.columns == quality.ledger(docs).select(*docs.columns).columns
+    report = {r.rule: r for r in quality.ablation(quality.ledger(docs), "v1").collect()}
+    bits = [r.rule_bits & 15 for r in quality.ledger(docs).collect()]
+    assert report["few_words"].failed == sum(b & 1 for b in bits) and report["few_words"].kept_without == sum(b in (0, 1) for b in bits)
+
+
+def test_dedup_lines(spark):
+    rng = random.Random(9)
+    long = " ".join(words(150, rng, 10**6))
+    near = long.replace(long.split()[70], long.split()[70] + "x")
+    other = " ".join(words(30, rng, 10**6))
+    table = [(1, f"{long}\n{other}\nshort"), (2, f"{near}\nshort\n{other.upper()}!"), (3, None), (4, ""), (None, long), (5, "\n\n"), (6, other), (6, other)]
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_lines, r.n_removed, r.kept) for r in lines.dedup_lines(frame, with_text=True).collect()), key=str)
+    assert (0, 1, 0, long) in got and (1, 3, 1, f"{other}\nshort") in got and (3, 1, 0, "") in got and (4, 1, 0, "") in got and (5, 3, 0, "\n\n") in got
+    assert [x for x in got if x[0] == 2][0][3] in ("short", f"{near}\nshort")
+    plain = {(r.doc_id or 0, r.n_removed, r.kept_sha256) for r in lines.dedup_lines(frame).collect()}
+    assert plain == {(k, n, hashlib.sha256(t.encode()).hexdigest()) for k, _, n, t in got}
+
+
+def test_simhash_links_near_lines(spark):
+    rng = random.Random(2)
+    base = words(400, rng, 10**6)
+    table = []
+    for i in range(40):
+        w = list(base)
+        w[i * 3] += "y"
+        table.append((i, " ".join(w)))
+    got = lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert sum(r.n_removed for r in got) >= 30
+
+
+def test_tokens(spark, docs, rows):
+    enc, direct = tokens.PieceEncoder(queries.tokenizer_path()), tokens.PieceEncoder(queries.tokenizer_path())
+    odd = ["a \n\nb  c", " lead", "trail \n", "it's we'll\t\tx", " x", "<|endoftext|> a", "word.next,Word!x a\u00a0\u00a0b c\u3000\n d\x0b\x0ce", "naïve’s Ωmega aΩ ab²", "e\u0301x. y\u0301", "日本語 text", "a \x1c! b", "\r\n\r\n", "x\x85y"]
+    for t in [*odd, *(t or "" for _, t in rows)]:
+        assert enc.encode(t) == direct.direct(t), t
+    out = common.new_path(spark, "t")
+    manifest = tokens.write_tokens(docs.unionByName(docs.where("doc_id < 3")), out, queries.tokenizer_path(), partitions=4)
+    got = sorted((tuple(r) for r in tokens.read_tokens(spark, out).collect()), key=lambda r: r[1])
+    at, want = 0, []
+    for i, t in sorted(rows + [r for r in rows if r[0] < 3], key=lambda r: r[0]):
+        ids = direct.tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+        at += len(ids)
+    assert got == want and sum(p["n_tokens"] for p in manifest) == at
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert minhash.near_duplicates(none).count() == suffix.remove_repeats(none).count() == lines.dedup_lines(none).count() == 0
+    assert sharding.interleave(none.select("doc_id", "source"), 4).count() == 0
+    assert mixing.mix(none.select("doc_id", "source", F.lit(1).alias("size"))).count() == 0
+    assert decontaminate.find_contamination(none, bench).count() == 0 and decontaminate.find_contamination(docs, bench).where("n_hit > 0").count() == 0
+    assert quality.ledger(none).count() == pii.find_pii(none).count() == 0
+    out = common.new_path(spark, "t")
+    assert tokens.write_tokens(none, out, queries.tokenizer_path()) == [] and tokens.read_tokens(spark, out).count() == 0
+    assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs, kept = spark.read.parquet(f"{d}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.staged(stage(spark, docs, d), "stage")
+        kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    assert kept[0] > kept[1] >= kept[2] >= kept[3]
+    mix = sorted(docs.select("doc_id", "text").collect())
+    direct = tokens.PieceEncoder(queries.tokenizer_path())
+    at, want = 0, []
+    for r in mix:
+        ids = direct.tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+        at += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, d).collect()) == want
