@@ -70,61 +70,55 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     """
     spark = docs.sparkSession
     docs = docs.drop("source_size", "target", "copies").withColumn("_k", group_key(F.col(source)))
-    hashes = [F.xxhash64(F.lit(seed + j), F.col(key).cast("string")) for j in range(ROUNDS)]
     narrow = docs.select("_k", F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"), F.col(key))
     stats = sorted(narrow.groupBy("_k").agg(F.max("_src").cast("string").alias("s"), F.sum("_size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda r: (r.s is None, [ord(c) for c in r.s or ""]))
     sizes = [r.n or 0 for r in stats]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(stats))], cap)
     whole = [int(t // n) if n else 0 for t, n in zip(targets, sizes, strict=True)]
     rest = {r._k: int(round(t - k * n)) for r, t, k, n in zip(stats, targets, whole, sizes, strict=True)}
-    cuts: dict[str, list[tuple[int, int]]] = {r._k: [] for r in stats}
+    cuts: dict[str, list[tuple[int, int, int, int]]] = {r._k: [] for r in stats}
     rows = {r._k: r.rows for r in stats}
 
-    def taken(upto: int) -> list[Column]:
-        """How often each of the first rounds takes a row (0 or 1)."""
-        out: list[Column] = []
-        for j in range(upto):
-            before = sum(out, F.lit(0))
-            open_ = before == 0 if j < FRESH else F.col("_whole") + before < cap
-            fits = (F.col("_size") > 0) & (F.col("_size") <= F.col(f"_fit{j}")) & open_
-            out.append(F.when(fits & (hashes[j] <= F.col(f"_cut{j}")) & (hashes[j] >= F.col(f"_from{j}")), 1).otherwise(0))
-        return out
+    def times() -> Column:
+        """How often a row is taken: with its whole source, and in each round that it fits and falls in."""
 
-    def columns(rounds: int) -> str:
-        return "".join(f", _fit{j} long, _from{j} long, _cut{j} long" for j in range(rounds))
+        def add(n: Column, r: Column) -> Column:
+            place = F.xxhash64(r["j"] + seed, F.col(key).cast("string"))
+            open_ = F.when(r["j"] < FRESH, n == F.col("_whole")).otherwise(n < cap)
+            return n + F.when((F.col("_size") > 0) & (F.col("_size") <= r["fit"]) & open_ & place.between(r["lo"], r["hi"]), 1).otherwise(0)
 
+        return F.aggregate("_rounds", F.col("_whole"), add)
+
+    kind = "_whole int, _rounds array<struct<j:int,fit:bigint,lo:bigint,hi:bigint>>"
     nothing = (1 << 63) - 1, -(1 << 63)
     names = {r._k: i for i, r in enumerate(stats)}
     j = 0
     while j < ROUNDS and any(rest.values()):
-        per = [(k, rows[k], rest[k], whole[names[k]], *(x for c in cuts[k] for x in c)) for k in rows]
-        open_ = narrow.join(spark.createDataFrame(per, "_k string, _rows long, _rest long, _whole int" + columns(j)), "_k")
-        sofar = sum(taken(j), F.lit(0))
-        open_ = open_.where((F.col("_size") > 0) & (sofar == 0 if j < FRESH else F.col("_whole") + sofar < cap))
-        h = hashes[j]
+        per = [(k, rows[k], rest[k], whole[names[k]], cuts[k]) for k in rows]
+        open_ = narrow.join(spark.createDataFrame(per, "_k string, _rows long, _rest long, " + kind), "_k")
+        open_ = open_.where((F.col("_size") > 0) & (times() == F.col("_whole") if j < FRESH else times() < cap))
+        h = F.xxhash64(F.lit(seed + j), F.col(key).cast("string"))
         if j < ROUNDS - 1:
             # the place in the order is the hash as an unsigned number, its sign bit flipped
             open_ = open_.where("_size <= _rest").withColumn("_h", h)
             run = running(open_, "_k", unit(F.col("_h").bitwiseXOR(F.lit(-(1 << 63)))), F.col("_rows"), ["_h"], F.col("_size"), "_sum", ties=True)
             got = {r._k: r for r in run.where("_sum <= _rest").groupBy("_k").agg(F.max("_h").alias("cut"), F.max("_sum").alias("got")).collect()}
             for k in rows:
-                cuts[k].append((rest[k], nothing[1], got[k].cut) if k in got else (0, *nothing))
+                cuts[k].append((j, rest[k], nothing[1], got[k].cut) if k in got else (j, 0, *nothing))
                 rest[k] -= got[k].got if k in got else 0
         else:
             near = open_.where("_size < 2 * _rest").withColumn("_h", h).groupBy("_k").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_rest")).alias("d"), "_h", "_size")).alias("n"))
             got = {r._k: r.n for r in near.collect()}
             for k in rows:
-                cuts[k].append((got[k]._size, got[k]._h, got[k]._h) if k in got else (0, *nothing))
+                cuts[k].append((j, got[k]._size, got[k]._h, got[k]._h) if k in got else (j, 0, *nothing))
         j += 1
-    rounds = j
     epochs = [max(1, cap)] * len(whole)
     kinds = [(i, e) for i in range(len(stats)) for e in range(epochs[i])]
     dealt = split_quotas([BLOCKS] * len(kinds), shards, seed).cumsum(axis=0) if kinds else np.zeros((shards, 0))
     bounds = [[[int(x) for x in dealt[:, c]] for c, (i, _) in enumerate(kinds) if i == s] for s in range(len(stats))]
-    spec = "_k string, source_size long, target double, _whole int, _bounds array<array<int>>" + columns(rounds)
-    per_source = spark.createDataFrame([(r._k, sizes[i], targets[i], whole[i], bounds[i], *(x for c in cuts[r._k] for x in c)) for i, r in enumerate(stats)], spec)
-    out = docs.join(per_source, "_k").withColumn("_size", F.col(size).cast("long"))
-    out = out.withColumn("_n", F.col("_whole") + sum(taken(rounds), F.lit(0)))
+    per = [(r._k, sizes[i], targets[i], bounds[i], whole[i], cuts[r._k]) for i, r in enumerate(stats)]
+    out = docs.join(spark.createDataFrame(per, "_k string, source_size long, target double, _bounds array<array<int>>, " + kind), "_k")
+    out = out.withColumn("_size", F.col(size).cast("long")).withColumn("_n", times())
     out = out.withColumn("_n", F.when(F.col("_size") > 0, F.col("_n")).otherwise(F.greatest("_whole", F.lit(1))))
     drawn = F.xxhash64(F.lit(seed), F.lit("block"), F.col(key).cast("string"))
 
@@ -136,7 +130,7 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
 
     # sequence(0, n - 1) alone would count down for n = 0
     copies = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), copy)).otherwise(F.array().cast("array<struct<epoch:int,shard:int,place:bigint>>"))
-    return out.withColumn("copies", copies).drop("_k", "_whole", "_bounds", "_size", "_n", *(f"_{n}{j}" for n in ("fit", "from", "cut") for j in range(rounds)))
+    return out.withColumn("copies", copies).drop("_k", "_whole", "_bounds", "_rounds", "_size", "_n")
 
 
 def mixed_rows(plan: DataFrame) -> DataFrame:
