@@ -54,7 +54,7 @@ def binary_hull(df: DataFrame, system: str, key: str, share: str, energy: str) -
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[share, energy])
         if not ((pdf[share] == 0).any() and (pdf[share] == 1).any()):
-            return pd.DataFrame({system: [], key: [], "e_above_hull": [], "is_stable": [], "formation": []})
+            return pdf[[system, key]].iloc[:0].assign(e_above_hull=0.0, is_stable=True, formation=0.0)
         best = pdf.groupby(share)[energy].min().sort_index()
         hull: list[tuple[float, float]] = []
         for x, y in best.items():
