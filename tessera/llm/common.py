@@ -141,21 +141,38 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+#: Passes of bucket_links that compare the members of a bucket with one of them only.
+STAR_ROUNDS = 4
+
+
 def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Verified links (a, b), a > b, that connect what all candidate pairs of the buckets (band, rep, first) would.
 
     first is the least rep of a band's bucket. Every rep is first compared with it; what that links is
-    contracted, and only reps of a bucket that are still in different components are compared in a
-    second pass. So a group of copies never becomes all of its pairs, and no link between components is lost.
+    contracted. In the next rounds each bucket that still has members in different components draws one of
+    those outside its least component, by a hash of the band and the round, and compares it with all others.
+    At last all pairs of different components that no round has compared are. So a group of copies
+    never becomes all of its pairs, and no link between components is lost.
     """
-    star = staged(met.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    links = staged(verify(star), "links")
-    if star.count() == links.count():
+    pairs = staged(met.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    links = staged(verify(pairs), "links")
+    if pairs.count() == links.count():
         return links
-    label = staged(components(links), "labels").select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    mine = staged(met.join(label, "rep", "left").select("band", "rep", F.coalesce("part", "rep").alias("part")), "parts")
-    open_ = mine.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band")
-    left = staged(mine.join(open_, "band", "left_semi"), "open")
-    x, y = left.select("band", F.col("rep").alias("a"), F.col("part").alias("pa")), left.select("band", F.col("rep").alias("b"), F.col("part").alias("pb"))
-    rest = x.join(y, "band").where("a > b AND pa != pb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    return links.unionByName(verify(staged(rest, "pairs")))
+    done, open_ = pairs, met.select("band", "rep")
+    for r in range(1, STAR_ROUNDS + 1):
+        label = staged(components(links), "labels").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+        parts = open_.join(label, "rep", "left").select("band", "rep", F.coalesce("part", "rep").alias("part"))
+        many = parts.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", "p")
+        mine = staged(parts.join(many, "band"), "open")
+        open_ = mine.select("band", "rep")
+        if not mine.take(1):
+            return links
+        order = F.xxhash64("rep", "band", F.lit(r))
+        if r < STAR_ROUNDS:
+            x = mine.where("part != p").groupBy("band").agg(F.min_by(F.struct("rep", "part"), order).alias("c")).select("band", F.col("c.rep").alias("x"), F.col("c.part").alias("px"))
+        else:
+            x = mine.select("band", F.col("rep").alias("x"), F.col("part").alias("px"))
+        met_again = x.join(mine.select("band", F.col("rep").alias("y"), F.col("part").alias("py")), "band").where("px != py" if r < STAR_ROUNDS else "px < py")
+        pairs = staged(met_again.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        links, done = staged(links.unionByName(verify(pairs)), "links"), done.unionByName(pairs)
+    return links
