@@ -23,9 +23,11 @@ from .minhash import mixed
 LENGTH = 200
 K = 40
 #: Segments of one value that a task sorts at most; values with more go through window hashes, split over all tasks.
-HOT = 4000
+HOT = 1000
+#: So do values with a segment of more bytes than this, as periodic texts have them.
+LONG = 1 << 16
 #: Bytes of segments that are sorted at once.
-BUNDLE = 1 << 20
+BUNDLE = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(7))
 _BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
 _B = np.uint64(0x2545F4914F6CDD1D)
@@ -290,7 +292,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     long = long.join(F.broadcast(others) if n_others * 32 <= BROADCAST_BYTES else others, [key, "text_key"], "left_anti")
 
     runs = _with_runs(long, length, ["text_key"]).select("text_key", F.explode("runs").alias("r")).select("text_key", "r.*")
-    shared = staged(runs.groupBy("h").agg(F.min("occ").alias("p"), F.max("occ").alias("q"), F.count("*").alias("n")).where("p != q").select("h", (F.col("n") > HOT).alias("hot")), "shared")
+    shared = staged(runs.groupBy("h").agg(F.min("occ").alias("p"), F.max("occ").alias("q"), F.count("*").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("most")).where("p != q").select("h", ((F.col("n") > HOT) | (F.col("most") > LONG)).alias("hot")), "shared")
     n_shared = shared.count()
     if n_shared * 16 <= BROADCAST_BYTES:
         found = _with_runs(long, length, ["text_key", "bytes"]).select("text_key", "bytes", F.explode("runs").alias("r")).select("text_key", "bytes", "r.*").join(F.broadcast(shared), "h")
