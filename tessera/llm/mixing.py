@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_key, running, unit
+from .common import BROADCAST_BYTES, group_key, running, unit
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that a source is dealt in for each time it is taken; a power of two.
@@ -79,6 +79,11 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     cuts: dict[str, list[tuple[int, int, int, int]]] = {r._k: [] for r in stats}
     rows = {r._k: r.rows for r in stats}
 
+    def per_source(values: list[tuple], spec: str) -> DataFrame:
+        """A row for each source; broadcast while they are few, so that a hot source stays spread."""
+        frame = spark.createDataFrame(values, spec)
+        return F.broadcast(frame) if len(values) * (1000 + 4 * shards * cap) <= BROADCAST_BYTES else frame
+
     def times() -> Column:
         """How often a row is taken: with its whole source, and in each round that it fits and falls in."""
 
@@ -95,7 +100,7 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     j = 0
     while j < ROUNDS and any(rest.values()):
         per = [(k, rows[k], rest[k], whole[names[k]], cuts[k]) for k in rows]
-        open_ = narrow.join(spark.createDataFrame(per, "_k string, _rows long, _rest long, " + kind), "_k")
+        open_ = narrow.join(per_source(per, "_k string, _rows long, _rest long, " + kind), "_k")
         open_ = open_.where((F.col("_size") > 0) & (times() == F.col("_whole") if j < FRESH else times() < cap))
         h = F.xxhash64(F.lit(seed + j), F.col(key).cast("string"))
         if j < ROUNDS - 1:
@@ -117,7 +122,7 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     dealt = split_quotas([BLOCKS] * len(kinds), shards, seed).cumsum(axis=0) if kinds else np.zeros((shards, 0))
     bounds = [[[int(x) for x in dealt[:, c]] for c, (i, _) in enumerate(kinds) if i == s] for s in range(len(stats))]
     per = [(r._k, sizes[i], targets[i], bounds[i], whole[i], cuts[r._k]) for i, r in enumerate(stats)]
-    out = docs.join(spark.createDataFrame(per, "_k string, source_size long, target double, _bounds array<array<int>>, " + kind), "_k")
+    out = docs.join(per_source(per, "_k string, source_size long, target double, _bounds array<array<int>>, " + kind), "_k")
     out = out.withColumn("_size", F.col(size).cast("long")).withColumn("_n", times())
     out = out.withColumn("_n", F.when(F.col("_size") > 0, F.col("_n")).otherwise(F.greatest("_whole", F.lit(1))))
     drawn = F.xxhash64(F.lit(seed), F.lit("block"), F.col(key).cast("string"))
