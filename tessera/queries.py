@@ -192,3 +192,39 @@ def _cells(t) -> DataFrame:
     model = vectors.fit_partitions(t("embeddings"), "vec_id", "embedding", 8)
     query = t("embeddings").where("vec_id = 0").first().embedding
     return vectors.search_cells(vectors.assign_cells(t("embeddings"), model, "embedding"), model, "embedding", query, "vec_id", 10, 3)
+
+# selections and derived columns
+
+from .operators import selection  # noqa: E402
+
+for mode, test in {"include": "len(list_filter(w, lambda x: NOT list_contains(['PROMO', 'SMALL', 'BRASS', 'STEEL', 'ECONOMY'], x))) = 0", "include_all": "list_sort(list_distinct(w)) = ['BRASS', 'ECONOMY', 'PROMO', 'SMALL', 'STEEL']", "exclude": "NOT list_has_any(w, ['PROMO', 'SMALL', 'BRASS', 'STEEL', 'ECONOMY'])"}.items():
+    simple(f"allowed_{mode}", f"SELECT p_partkey FROM (SELECT *, string_split(p_type, ' ') AS w FROM part) WHERE {test}", lambda t, mode=mode: t("part").where(selection.allowed(F.split("p_type", " "), ["PROMO", "SMALL", "BRASS", "STEEL", "ECONOMY"], mode)).select("p_partkey"))
+simple("patterns_all", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'the') AND regexp_matches(text, '[0-9]')", lambda t: t("documents").where(selection.matches(F.col("text"), ["the", "[0-9]"], "all")).select("doc_id"))
+simple("filter_count_inverse", "SELECT count_if(NOT (o_totalprice > 1500))::BIGINT AS n FROM orders", lambda t: selection.apply_filter(t("orders"), F.col("o_totalprice") > 1500, "count", inverse=True))
+simple("invalid_dropped", "SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL", lambda t: t("events").where(F.get_json_object("props", "$.k").try_cast("long").isNotNull()).select("event_id"))
+simple("datastore_id", "SELECT o_orderkey, c::BIGINT * 1000000000 + row_number() OVER (PARTITION BY c ORDER BY o_orderkey) - 1 AS datastore_id FROM (SELECT o_orderkey, ('0x' || md5(CAST(o_orderkey AS VARCHAR)))::UHUGEINT % 16 AS c FROM orders)", lambda t: t("orders").withColumn("c", scalars.chunk_key(F.col("o_orderkey"), 16)).select("o_orderkey", (F.col("c").cast("long") * scalars.CHUNK_SIZE + F.row_number().over(Window.partitionBy("c").orderBy("o_orderkey")) - 1).alias("datastore_id")))
+simple("scaled_to_max", "SELECT p_partkey, round(p_retailprice / (SELECT max(p_retailprice) FROM part), 8) AS share FROM part", lambda t: t("part").crossJoin(F.broadcast(t("part").agg(F.max("p_retailprice").alias("m")))).select("p_partkey", F.round(F.col("p_retailprice") / F.col("m"), 8).alias("share")))
+simple("kleene_rules", "SELECT p_partkey, p_size <= 25 AND p_retailprice <= 1500 AS passes FROM part", lambda t: t("part").select("p_partkey", ((F.col("p_size") <= 25) & (F.col("p_retailprice") <= 1500)).alias("passes")))
+simple("split_by_sign", "SELECT c_custkey, greatest(c_acctbal, 0) AS up, least(c_acctbal, 0) AS down FROM customer", lambda t: t("customer").select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("up"), F.least("c_acctbal", F.lit(0.0)).alias("down")))
+simple("first_last_change", "SELECT user_id, round((arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id))) / arg_min(value, (ts, event_id)), 6) AS change FROM events GROUP BY 1 HAVING arg_min(value, (ts, event_id)) <> 0", lambda t: t("events").groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("a"), F.max_by("value", F.struct("ts", "event_id")).alias("b")).where("a <> 0").select("user_id", F.round((F.col("b") - F.col("a")) / F.col("a"), 6).alias("change")))
+simple("waiting_time", "SELECT user_id, greatest(0, date_diff('second', min(ts), max(ts)) - 3600)::BIGINT AS wait FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1", lambda t: t("events").groupBy("user_id").agg(F.greatest(F.lit(0).cast("long"), F.unix_timestamp(F.max(F.col("ts").cast("timestamp"))) - F.unix_timestamp(F.min(F.col("ts").cast("timestamp"))) - 3600).alias("wait")))
+simple("table_counts", " UNION ALL ".join(f"SELECT '{s.name}' AS name, count(*) AS n FROM {s.name}" for s in SPECS), lambda t: relations.tagged_union({s.name: t(s.name).agg(F.count("*").alias("n")) for s in SPECS}, "name"))
+simple("tags_by_depth", "SELECT DISTINCT p_type AS tag, length(p_type) - length(replace(p_type, ' ', '')) AS depth FROM part", lambda t: t("part").select(F.col("p_type").alias("tag"), (F.length("p_type") - F.length(F.replace("p_type", F.lit(" "), F.lit("")))).cast("long").alias("depth")).distinct().orderBy("depth", "tag"))
+simple("group_index_sets", "SELECT p_size, p_brand, list(p_partkey ORDER BY p_partkey) AS members FROM part GROUP BY 1, 2", lambda t: t("part").groupBy("p_size", "p_brand").agg(F.array_sort(F.collect_list("p_partkey")).alias("members")))
+simple("next_work_item", "SELECT event_id FROM events WHERE event_type = 'signup' AND user_id % 2 = 0 ORDER BY ts, event_id LIMIT 1", lambda t: selection.oldest_pending(t("events").withColumn("s", F.expr(STATUS)), "s", "ts", "event_id", F.col("user_id") % 2 == 0).select("event_id"))
+simple("stop_condition", "WITH b AS (SELECT min((value, ts)) AS m FROM events) SELECT count(ts)::BIGINT AS completed, count_if(event_type = 'view')::BIGINT AS n_exact, count_if(value > m[1] + 0.001 AND ts >= m[2])::BIGINT AS since_best, count_if(event_type = 'view') >= 10 AND (count(ts) > 1000000 OR count_if(value > m[1] + 0.001 AND ts >= m[2]) > 100) AS stop FROM events, b", lambda t: selection.stop_condition(t("events"), "value", "ts", 1_000_000, 100, 10, F.col("event_type") == "view"))
+simple("distance_from_known", f"SELECT label, arg_min(vec_id, (round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 4), vec_id)) AS nearest FROM embeddings, (SELECT {QUERY_VECTOR} AS q) GROUP BY 1", lambda t: _with_query(t).withColumn("d", F.round(vectors.METRICS["l2"](F.col("embedding"), F.col("q")), 4)).groupBy("label").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("nearest")))
+simple("conversation_turns", "SELECT conv_id, list(role ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY 1", lambda t: t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.count("*").alias("n")))
+simple("map_prefix_sums", "SELECT user_id, round(sum(value) FILTER (event_type LIKE 'c%' OR event_type LIKE 'p%'), 4) AS total FROM events WHERE event_type LIKE 'c%' OR event_type LIKE 'p%' GROUP BY 1", lambda t: t("events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m")).select("user_id", F.map_filter("m", lambda k, v: k.startswith("c") | k.startswith("p")).alias("m")).where(F.size("m") > 0).select("user_id", F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x), 4).alias("total")))
+add("truncated_selection")(lambda t: selection.truncated(t("orders"), ["o_totalprice", "o_orderkey"], 100).select("draw", "o_orderkey"))
+add("tournament_selection")(lambda t: selection.tournament(t("supplier"), "s_acctbal", "s_suppkey", 20))
+add("even_sample")(lambda t: selection.even_sample(t("part"), "p_brand", 5, "p_partkey").select("p_partkey", "p_brand"))
+
+
+@add("principal_axes")
+def _pca(t) -> DataFrame:
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("place"))
