@@ -162,7 +162,8 @@ def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Da
     for r in range(1, STAR_ROUNDS + 1):
         label = staged(components(links), "labels").select(F.col("node").alias("rep"), F.col("component").alias("part"))
         parts = open_.join(label, "rep", "left").select("band", "rep", F.coalesce("part", "rep").alias("part"))
-        many = parts.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("band", "p")
+        # two members have met in the first round
+        many = parts.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2").select("band", "p")
         mine = staged(parts.join(many, "band"), "open")
         open_ = mine.select("band", "rep")
         if not mine.take(1):
@@ -174,5 +175,6 @@ def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Da
             x = mine.select("band", F.col("rep").alias("x"), F.col("part").alias("px"))
         met_again = x.join(mine.select("band", F.col("rep").alias("y"), F.col("part").alias("py")), "band").where("px != py" if r < STAR_ROUNDS else "px < py")
         pairs = staged(met_again.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        links, done = staged(links.unionByName(verify(pairs)), "links"), done.unionByName(pairs)
+        if pairs.take(1):
+            links, done = staged(links.unionByName(verify(pairs)), "links"), done.unionByName(pairs)
     return links
