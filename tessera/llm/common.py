@@ -143,6 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Passes of bucket_links that compare the members of a bucket with one of them only.
 STAR_ROUNDS = 4
+#: All remaining pairs are compared at once when they are at most so many for each remaining row.
+FEW_PAIRS = 4
 
 
 def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -151,8 +153,8 @@ def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Da
     first is the least rep of a band's bucket. Every rep is first compared with it; what that links is
     contracted. In the next rounds each bucket that still has members in different components draws one of
     those outside its least component, by a hash of the band and the round, and compares it with all others.
-    At last all pairs of different components that no round has compared are. So a group of copies
-    never becomes all of its pairs, and no link between components is lost.
+    At last, or once they are few, all pairs of different components that no round has compared are. So a
+    group of copies never becomes all of its pairs, and no link between components is lost.
     """
     pairs = staged(met.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
     links = staged(verify(pairs), "links")
@@ -163,18 +165,22 @@ def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> Da
         label = staged(components(links), "labels").select(F.col("node").alias("rep"), F.col("component").alias("part"))
         parts = open_.join(label, "rep", "left").select("band", "rep", F.coalesce("part", "rep").alias("part"))
         # two members have met in the first round
-        many = parts.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2").select("band", "p")
+        many = parts.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2").select("band", "p", "n")
         mine = staged(parts.join(many, "band"), "open")
         open_ = mine.select("band", "rep")
-        if not mine.take(1):
+        left = mine.agg(F.count("*").alias("rows"), F.sum((F.col("n") - 1) / 2).alias("pairs")).first()
+        if not left.rows:
             return links
+        last = r == STAR_ROUNDS or left.pairs <= FEW_PAIRS * left.rows
         order = F.xxhash64("rep", "band", F.lit(r))
-        if r < STAR_ROUNDS:
+        if not last:
             x = mine.where("part != p").groupBy("band").agg(F.min_by(F.struct("rep", "part"), order).alias("c")).select("band", F.col("c.rep").alias("x"), F.col("c.part").alias("px"))
         else:
             x = mine.select("band", F.col("rep").alias("x"), F.col("part").alias("px"))
-        met_again = x.join(mine.select("band", F.col("rep").alias("y"), F.col("part").alias("py")), "band").where("px != py" if r < STAR_ROUNDS else "px < py")
+        met_again = x.join(mine.select("band", F.col("rep").alias("y"), F.col("part").alias("py")), "band").where("px < py" if last else "px != py")
         pairs = staged(met_again.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         if pairs.take(1):
             links, done = staged(links.unionByName(verify(pairs)), "links"), done.unionByName(pairs)
+        if last:
+            break
     return links
