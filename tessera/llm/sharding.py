@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import group_key, running, staged, unit
+from .common import BROADCAST_BYTES, group_key, running, staged, unit
 
 
 def interleave(docs: DataFrame, shards: int, key: str = "doc_id", source: str = "source", tie: tuple = (), seed: int = 11) -> DataFrame:
@@ -21,8 +21,11 @@ def interleave(docs: DataFrame, shards: int, key: str = "doc_id", source: str =
     """
     docs = docs.drop("shard", "slot").withColumns({"_k": group_key(F.col(source)), "_h": F.xxhash64(F.lit(seed), F.col(key).cast("string"), *tie)})
     docs = staged(docs, "shard-rows")
-    counts = docs.groupBy("_k").agg(F.count("*").alias("_n"))
-    total = docs.count()
+    # a row for each source; while they are few, rows of a hot source need not meet in one task
+    counts = staged(docs.groupBy("_k").agg(F.count("*").alias("_n")), "shard-counts")
+    seen = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.octet_length("_k") + 24), F.lit(0)).alias("bytes")).first()
+    total = seen.rows
+    counts = F.broadcast(counts) if seen.bytes <= BROADCAST_BYTES else counts
     ranked = running(docs.join(counts, "_k"), "_k", unit(F.col("_h").bitwiseXOR(F.lit(-(1 << 63)))), F.col("_n"), ["_h", key, *tie], F.lit(1), "_rank")
     placed = staged(ranked.withColumns({"_f": (2 * F.col("_rank") + 1) / (2 * F.col("_n")), "_all": F.lit(0)}), "shard-ranks")
     placed = running(placed, "_all", F.col("_f"), F.lit(total), ["_f", "_k", "_rank"], F.lit(1), "_at")
