@@ -285,3 +285,34 @@ def test_pipeline(spark):
         want.append((r.doc_id, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         at += len(ids)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, d).collect()) == want
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_dedup_lines_finds_near_lines(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 1500)]
+    bases = [(n, " ".join(rng.choice(vocab) for _ in range(n))) for n in (10, 15, 20, 30, 45, 60) for _ in range(12)]
+    bases += [(-n, "".join(rng.choice(signs) for _ in range(n))) for n in (22, 60, 200) for _ in range(8)]
+    table, one, more = [], set(), set()
+    for n, t in bases:
+        for e, found in ((1, one), (3 if len(t) >= 60 else 1, more)):
+            x = list(t)
+            for p in rng.sample(range(len(x)), e):
+                x[p] = rng.choice(["", "q", x[p] + "z"]) if n > 0 else rng.choice(["", rng.choice(signs)])
+            x = "".join(x)
+            if x != t and 10 * edits(t, x) <= max(len(t), len(x)):
+                found.add(len(table) + 1)
+                table += [(len(table), t), (len(table) + 1, x)]
+    far = [(900000 + i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(60)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(table + far, "doc_id long, text string")).collect()}
+    assert len(one) > 80 and all(got[k] == 1 for k in one)
+    assert sum(got[k] for k in more) >= 0.97 * len(more) and not any(got[k] for k, _ in far)
