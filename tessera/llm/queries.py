@@ -24,7 +24,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), min_chars=1)
 
 
 def op4_shard_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,3 +316,11 @@ def test_dedup_lines_finds_near_lines(spark):
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(table + far, "doc_id long, text string")).collect()}
     assert len(one) > 80 and all(got[k] == 1 for k in one)
     assert sum(got[k] for k in more) >= 0.97 * len(more) and not any(got[k] for k, _ in far)
+
+
+def test_dedup_lines_takes_short_lines(spark, tmp_path):
+    table = [(1, "Read more\nx\n\n今日は天気がいい"), (2, "read  more!\nX\n\n今日は天気がいい\nread mare"), (3, "menu\nmanu\nabout our team\n...\n"), (4, "about our tean\n...\nmenu")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.op3_dedup_lines(spark, str(tmp_path)).collect()}
+    kept = {1: (0, table[0][1]), 2: (3, "\nread mare"), 3: (0, table[2][1]), 4: (2, "...")}
+    assert got == {k: (n, hashlib.sha256(t.encode()).hexdigest()) for k, (n, t) in kept.items()}
