@@ -116,3 +116,32 @@ def search_cells(indexed: DataFrame, model, vector: str, query: list[float], key
     near = sorted(range(len(model.clusterCenters())), key=lambda i: float(sum((a - b) ** 2 for a, b in zip(model.clusterCenters()[i], query, strict=True))))[:probes]
     q = F.array(*[F.lit(float(x)) for x in query])
     return top_k(indexed.where(F.col("cell").isin(near)), key, METRICS["l2"](F.col(vector), q), k)
+
+
+def search_cells_exactly(indexed: DataFrame, queries: DataFrame, model, vector: str, key: str, k: int, probes: int) -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest rows of indexed for each query but itself, as nearest_queries by l2 has them.
+
+    Each query is joined with the rows of its nearest cells (probes of them), then with those of further cells that can hold a
+    nearer row: a row is at least as far as its cell's centre, less the cell's radius. A query with fewer than k rows so far
+    reads all cells. Queries and cells are a stated, small set.
+    """
+    centres = [[float(x) for x in c] for c in model.clusterCenters()]
+    cells = indexed.sparkSession.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>")
+    radii = indexed.join(F.broadcast(cells), "cell").groupBy("cell").agg(F.max(METRICS["l2"](F.col(vector), F.col("centre"))).alias("radius"))
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    away = asked.crossJoin(F.broadcast(cells.join(radii, "cell"))).select("query_id", "_q", "cell", "radius", METRICS["l2"](F.col("_q"), F.col("centre")).alias("away"))
+    plan = away.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("away", "cell")))
+    by = Window.partitionBy("query_id").orderBy("distance", key)
+
+    def scored(some: DataFrame) -> DataFrame:
+        met = indexed.select("cell", key, vector).join(F.broadcast(some.select("query_id", "_q", "cell")), "cell").where(F.col(key) != F.col("query_id"))
+        return met.select("query_id", key, METRICS["l2"](F.col(vector), F.col("_q")).alias("distance"))
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+    first = best(scored(plan.where(F.col("place") <= probes)))
+    bound = first.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
+    # the allowance is for rounding; equal distances count, as the key decides between them
+    further = plan.where(F.col("place") > probes).join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("away") - F.col("radius") <= F.col("bound") * (1 + 1e-9) + 1e-9))
+    return best(first.drop("rank").unionByName(scored(further)))

@@ -152,3 +152,13 @@ def test_stream(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(source))
     got = traffic.run_once(spark, str(source), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert 0 < got.agg(F.sum("n")).first()[0] <= 1000
+
+
+def test_partitioned_search_is_whole(spark):
+    from tessera import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = {(r.query_id, r.vec_id, r["rank"]) for r in queries.QUERIES["partitioned_search"](spark, sf).select("query_id", "vec_id", "rank").collect()}
+    want = {(r.query_id, r.vec_id, r["rank"]) for r in vectors.nearest_queries(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "l2", 10).collect()}
+    assert want and len(got & want) >= 0.9 * len(want) and got == want
