@@ -34,6 +34,12 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def by_fingerprint(rows_only: bool = False) -> list[tuple[tuple, str, dict]]:
+    """(paths, fingerprint, mapping) of the layouts, the one to prefer first: lists hold whole conversations, more paths say more."""
+    found = [(paths, fingerprint(paths), how) for paths, how in LAYOUTS.items() if "rows" in how or not rows_only]
+    return sorted(found, key=lambda x: ("list" not in x[2], -len(x[0])))
+
+
 def paths_of(kind: T.DataType, prefix: str = "") -> list[str]:
     if isinstance(kind, T.StructType):
         return [p for f in kind.fields for p in paths_of(f.dataType, f"{prefix}.{f.name}" if prefix else f.name)]
@@ -49,16 +55,19 @@ def json_paths(record: Column) -> Column:
 
 
 def turns_from_json(records: DataFrame, record: str = "record", key: str = "conv_id") -> DataFrame:
-    """(key, turn, role, text, layout) of JSON records in any of LAYOUTS; layout is the fingerprint of the record.
+    """(key, turn, role, text, layout) of JSON records in any of LAYOUTS; layout is the fingerprint of the paths that the mapping uses.
 
-    Records whose fingerprint is unknown, or that are null or not JSON, give one row with null turn,
-    role and text, so nothing is lost silently.
+    A mapping is taken if the record's paths among the mapping's own have its fingerprint, so further paths don't matter.
+    Records for which none is taken (layout is the fingerprint of all their paths then), or that are null or not JSON, give
+    one row with null turn, role and text, so nothing is lost silently.
     """
     r = F.col(record)
-    marked = records.select(F.col(key), r.alias("_r"), json_paths(r).alias("_p")).withColumn("layout", F.sha2(F.array_join("_p", "\n"), 256))
+    marked = records.select(F.col(key), r.alias("_r"), json_paths(r).alias("_p"))
+    hashed = lambda paths: F.sha2(F.array_join(paths, "\n"), 256)
     turn = "array<struct<turn:bigint,role:string,text:string>>"
     chosen = F.lit(None).cast(turn)
-    for paths, how in LAYOUTS.items():
+    layout = hashed(F.col("_p"))
+    for paths, known, how in reversed(by_fingerprint()):
         if "list" in how:
             made = F.expr(f"transform(from_json(get_json_object(_r, '$.{how['list']}'), 'array<map<string,string>>'), (m, i) -> struct(CAST(i AS BIGINT) AS turn, m['{how['role']}'] AS role, m['{how['text']}'] AS text))")
         elif "turns" in how:
@@ -67,18 +76,19 @@ def turns_from_json(records: DataFrame, record: str = "record", key: str = "conv
         else:
             t, role, text = how["rows"]
             made = F.array(F.struct(F.get_json_object("_r", f"$.{t}").cast("long").alias("turn"), F.get_json_object("_r", f"$.{role}").alias("role"), F.get_json_object("_r", f"$.{text}").alias("text")))
-        chosen = F.when(F.col("layout") == fingerprint(paths), made.cast(turn)).otherwise(chosen)
+        same = hashed(F.array_sort(F.array_intersect("_p", F.array(*[F.lit(p) for p in paths])))) == known
+        chosen, layout = F.when(same, made.cast(turn)).otherwise(chosen), F.when(same, F.lit(known)).otherwise(layout)
     names = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
-    return marked.select(F.col(key), F.explode_outer(chosen).alias("t"), "layout").select(key, "t.turn", F.coalesce(names[F.col("t.role")], F.col("t.role")).alias("role"), "t.text", "layout")
+    return marked.select(F.col(key), F.explode_outer(chosen).alias("t"), layout.alias("layout")).select(key, "t.turn", F.coalesce(names[F.col("t.role")], F.col("t.role")).alias("role"), "t.text", "layout")
 
 
 def turns_from_rows(table: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turn, role, text, layout) of a table with a row for each turn, by the fingerprint of its columns; extra columns don't matter."""
     have = {p.lower() for p in paths_of(table.schema)}
-    for paths, how in LAYOUTS.items():
-        if "rows" in how and set(paths) <= have:
+    for paths, known, how in by_fingerprint(rows_only=True):
+        if (found := fingerprint(have & set(paths))) == known:
             t, role, text = how["rows"]
-            return table.select(F.col(key), F.col(t).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit(fingerprint(paths)).alias("layout"))
+            return table.select(F.col(key), F.col(t).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.lit(found).alias("layout"))
     raise ValueError(f"no layout for the columns {sorted(have)}")
 
 

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small tables with the odd cases: nulls, empty and long texts, ties, repeats."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -324,3 +325,30 @@ def test_dedup_lines_takes_short_lines(spark, tmp_path):
     got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in queries.op3_dedup_lines(spark, str(tmp_path)).collect()}
     kept = {1: (0, table[0][1]), 2: (3, "\nread mare"), 3: (0, table[2][1]), 4: (2, "...")}
     assert got == {k: (n, hashlib.sha256(t.encode()).hexdigest()) for k, (n, t) in kept.items()}
+
+
+def test_chat_layouts_ignore_further_keys(spark):
+    two = {"user": "a", "assistant": "b"}
+    lists = {"messages": ("role", "content"), "conversations": ("from", "value")}
+    records, layouts = [], []
+    for paths, how in chat.LAYOUTS.items():
+        if "list" in how:
+            r, t = lists[how["list"]]
+            record = {how["list"]: [{r: k, t: v, "name": "n", "tool": {"id": 1}} for k, v in two.items()]}
+        elif "turns" in how:
+            record = {p: v for role, ps in how["turns"] for p, v in zip(ps, ["" if role == "system" else two[role], ""])}
+        else:
+            record = dict(zip(how["rows"], [0, "user", "a"]))
+        records.append(json.dumps({"id": "x", **record, "zz": [{"k": 1}], "meta": {"k": 2}}))
+        layouts.append(chat.fingerprint(paths))
+    records.append('{"id":1,"prompt":"p","completion":"c","messages":[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]}')
+    layouts.append(layouts[0])
+    by = defaultdict(list)
+    for r in chat.turns_from_json(spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")).collect():
+        by[r.conv_id].append((r.role, r.text))
+        assert r.layout == layouts[r.conv_id]
+    for i, how in enumerate([*chat.LAYOUTS.values(), {"list": 0}]):
+        want = [("user", "a")] if "rows" in how else [*two.items()]
+        assert [x for x in sorted(by[i], reverse=True) if x[0] != "system"] == want
+    table = spark.createDataFrame([(1, 0, "user", "a", 5)], "conv_id long, turn int, role string, content string, more int")
+    assert chat.turns_from_rows(table).first().layout == chat.fingerprint(("turn", "role", "content"))
