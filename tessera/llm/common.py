@@ -42,18 +42,34 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the staged tables that these frames read directly; for tables whose rows stand in a later one."""
+    for df in frames:
+        files = df.inputFiles()[:1] if df is not None else []
+        for owner, path in [x for x in _staged if any(f"/{x[1].rsplit('/', 1)[1]}/" in f for f in files)]:
+            _delete(owner, path)
+            _staged.remove((owner, path))
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this session has staged; call it once the results are written."""
     for owner, path in [x for x in _staged if x[0] is spark]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
         _staged.remove((owner, path))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches sent to Python, for tables with very long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 200:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    """Bounds the Arrow batches sent to Python by rows and bytes, for tables with very long texts; the bounds stay set,
+    as plans read them when they run."""
+    for name, most in (("maxRecordsPerBatch", 500), ("maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def without(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -118,10 +134,10 @@ def running(df: DataFrame, group: str, at: Column, rows: Column, order: list, va
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges (a, b); a component is named by its smallest node.
+    """(node, component) for the nodes of edges (a, b), staged; a component is named by its smallest node.
 
     Alternating large and small stars: each step links nodes to the least node around them, with
-    joins and minima only, until nothing changes.
+    joins and minima only, until nothing changes. Each step's edges are staged and the ones before deleted.
     """
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
 
@@ -134,53 +150,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     state = None
     while True:
-        edges = staged(stars(stars(edges, True), False), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        state = now
-
-
-#: Passes of bucket_links that compare the members of a bucket with one of them only.
-STAR_ROUNDS = 4
-#: All remaining pairs are compared at once when they are at most so many for each remaining row.
-FEW_PAIRS = 4
-
-
-def bucket_links(met: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b), a > b, that connect what all candidate pairs of the buckets (band, rep, first) would.
-
-    first is the least rep of a band's bucket. Every rep is first compared with it; what that links is
-    contracted. In the next rounds each bucket that still has members in different components draws one of
-    those outside its least component, by a hash of the band and the round, and compares it with all others.
-    At last, or once they are few, all pairs of different components that no round has compared are. So a
-    group of copies never becomes all of its pairs, and no link between components is lost.
-    """
-    pairs = staged(met.where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
-    links = staged(verify(pairs), "links")
-    if pairs.count() == links.count():
-        return links
-    done, open_ = pairs, met.select("band", "rep")
-    for r in range(1, STAR_ROUNDS + 1):
-        label = staged(components(links), "labels").select(F.col("node").alias("rep"), F.col("component").alias("part"))
-        parts = open_.join(label, "rep", "left").select("band", "rep", F.coalesce("part", "rep").alias("part"))
-        # two members have met in the first round
-        many = parts.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q AND n > 2").select("band", "p", "n")
-        mine = staged(parts.join(many, "band"), "open")
-        open_ = mine.select("band", "rep")
-        left = mine.agg(F.count("*").alias("rows"), F.sum((F.col("n") - 1) / 2).alias("pairs")).first()
-        if not left.rows:
-            return links
-        last = r == STAR_ROUNDS or left.pairs <= FEW_PAIRS * left.rows
-        order = F.xxhash64("rep", "band", F.lit(r))
-        if not last:
-            x = mine.where("part != p").groupBy("band").agg(F.min_by(F.struct("rep", "part"), order).alias("c")).select("band", F.col("c.rep").alias("x"), F.col("c.part").alias("px"))
-        else:
-            x = mine.select("band", F.col("rep").alias("x"), F.col("part").alias("px"))
-        met_again = x.join(mine.select("band", F.col("rep").alias("y"), F.col("part").alias("py")), "band").where("px < py" if last else "px != py")
-        pairs = staged(met_again.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if pairs.take(1):
-            links, done = staged(links.unionByName(verify(pairs)), "links"), done.unionByName(pairs)
-        if last:
-            break
-    return links
+        if now == state or not now[0]:
+            out = staged(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "labels")
+            discard(edges)
+            return out
+        state, before = now, edges
+        edges = staged(stars(stars(edges, True), False), "edges")
+        discard(before)

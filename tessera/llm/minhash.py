@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -9,21 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_columns, bucket_links, components, restrict, staged
+from .common import BROADCAST_BYTES, arrow_columns, components, discard, restrict, small_batches, staged
 
 SHINGLE = 5
-#: A pair of similarity 0.75 agrees in all registers of at least one band but once in 10^8.
-BANDS, ROWS = 48, 4
+#: A pair of similarity 0.75 agrees in all registers of at least one band but for 2 times in 10^6.
+BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 #: SetSketch parameters: base, rate and highest register; a sketch of 2-byte registers.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Estimates this many standard errors under the threshold still go to verification.
-ERRORS = 6.0
+ERRORS = 4.5
+#: Registers in a short sketch: the lowest two bits of each, padded to whole 64-bit words.
+FIELDS = -(-REGISTERS // 32) * 32
+#: Members of a bucket that one task compares with each other; larger buckets are dealt as pairs of blocks.
+BLOCK = 512
+#: Partners that a document picks from a block in the first round; each further round takes FAN_GROWTH times as many.
+FAN, FAN_GROWTH = 1, 4
+#: Pairs of short sketches that are compared at once.
+_AT_ONCE = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(2021))
-_XOR = _rng.integers(0, 1 << 64, (REGISTERS, 1), np.uint64)
-_ODD = _rng.integers(0, 1 << 64, (REGISTERS, 1), np.uint64) | np.uint64(1)
+_XOR = _rng.integers(0, 1 << 32, (2, REGISTERS // 2, 1), np.uint32)
+_ODD = _rng.integers(0, 1 << 32, (2, REGISTERS // 2, 1), np.uint32) | np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 2048
+_LOW = np.uint64(0x5555555555555555)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,29 +53,52 @@ class Words(dict):
         return h
 
 
+def shingle_sets(texts: list[str | None], words: Words, size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its shingles of words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z."""
+    cut = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    lens = np.fromiter(map(len, cut), np.int64, len(cut))
+    ends = np.cumsum(lens)
+    h = np.fromiter(map(words.__getitem__, chain.from_iterable(cut)), np.uint64, int(ends[-1]) if len(cut) else 0)
+
+    def windows(x: np.ndarray, n: int) -> np.ndarray:
+        out = np.full(len(x) - n + 1, n, np.uint64)
+        for j in range(n):
+            out = mixed(out * _MIX + x[j : len(x) - n + 1 + j])
+        return out
+
+    # windows over all texts at once; those that run from one text into the next are never read
+    every = windows(h, size) if len(h) >= size else h
+    out = []
+    for n, e in zip(lens.tolist(), ends.tolist(), strict=True):
+        out.append(np.unique(every[e - n : e - size + 1]) if n >= size else windows(h[e - n : e], n) if n else h[:0])
+    return out
+
+
 def shingle_set(text: str | None, words: Words, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of words [^\\x20\\x09-\\x0D]+ after lower-casing A-Z."""
-    if not text:
-        return np.empty(0, np.uint64)
-    h = np.array([words[w] for w in text.encode("utf-8", "surrogatepass").lower().split()], np.uint64)
-    if not len(h):
-        return h
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for j in range(n):
-        out = mixed(out * _MIX + h[j : len(h) - n + 1 + j])
-    return np.unique(out)
+    return shingle_sets([text], words, size)[0]
+
+
+def least_values(elements: np.ndarray) -> np.ndarray:
+    """For each register the least of its hash values of the elements: half the registers hash the low 32 bits, half the high ones."""
+    least = np.full((2, REGISTERS // 2), np.iinfo(np.uint32).max, np.uint32)
+    for half in (0, 1):
+        e = (elements >> np.uint64(32 * half)).astype(np.uint32)
+        for at in range(0, len(e), 512):
+            v = e[None, at : at + 512] ^ _XOR[half]
+            v *= _ODD[half]
+            np.minimum(least[half], v.min(axis=1), out=least[half])
+    return least.ravel()
+
+
+def truncated(least: np.ndarray) -> np.ndarray:
+    """Registers of least values: the values as exponential variables on a truncated log scale."""
+    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype("<u2")
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
     """SetSketch registers: in each, the least of exponential values of the elements on a truncated log scale."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(elements), _BLOCK):
-        v = elements[None, at : at + _BLOCK] ^ _XOR
-        v *= _ODD
-        np.minimum(least, v.min(axis=1), out=least)
-    x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64 * (1 - 1e-16)) / RATE
-    return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / np.log(BASE)), 0, TOP).astype("<u2")
+    return truncated(least_values(elements))
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,94 +126,248 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return (lo + hi) / 2
 
 
-def _sketch(text: str = "text"):
-    def make():
-        words = Words()
+def short_sketches(regs: np.ndarray) -> np.ndarray:
+    """The lowest two bits of the registers of each row, packed into 64-bit words."""
+    bits = np.zeros((len(regs), FIELDS), np.uint64)
+    bits[:, :REGISTERS] = regs & 3
+    return np.bitwise_or.reduce(bits.reshape(len(regs), -1, 32) << (2 * np.arange(32, dtype=np.uint64)), axis=2)
 
-        def compute(texts: pa.Array):
-            n, keys, regs = [], [], []
-            for t in texts.to_pylist():
-                s = shingle_set(t, words)
-                n.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                regs.append(registers(s).tobytes() if len(s) else None)
-            return [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())]
 
-        return compute
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many registers rows of short sketches agree."""
+    x = a ^ b
+    return REGISTERS - np.bitwise_count((x | (x >> np.uint64(1))) & _LOW).sum(axis=1, dtype=np.int64)
+
+
+def least_agreeing(j: float) -> int:
+    """Registers of short sketches in which a pair of similarity j agrees, but for ERRORS standard errors: unequal
+    registers agree in two bits one time in four."""
+    p = j + (1 - j) / 4
+    return int(np.floor(REGISTERS * p - ERRORS * np.sqrt(REGISTERS * p * (1 - p))))
+
+
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """64-bit keys of the bands of each row."""
+    rows = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
+    keys = np.broadcast_to((np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _MIX, rows.shape[:2])
+    for k in range(ROWS):
+        keys = mixed(keys * _MIX + rows[:, :, k])
+    return keys.view(np.int64)
+
+
+def _sketch():
+    words = Words()
+
+    def compute(texts: pa.Array):
+        sets = shingle_sets(texts.to_pylist(), words)
+        regs = truncated(np.stack([least_values(s) for s in sets])) if sets else np.empty((0, REGISTERS), "<u2")
+        keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([r.tobytes() if len(s) else None for r, s in zip(regs, sets, strict=True)], pa.binary())]
 
-    return make
+    return compute
+
+
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
 
 
 def _bands():
     """Keys of the bands of a sketch."""
-    salt = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _MIX
 
     def compute(regs: pa.Array):
-        got = np.frombuffer(b"".join(regs.to_pylist()), "<u8" if ROWS == 4 else None).reshape(len(regs), BANDS)
-        keys = mixed(mixed(got) + salt[None, :]).view(np.int64)
+        keys = band_keys(_matrix(regs, "<u2", REGISTERS))
         return [pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), keys.ravel())]
 
     return compute
 
 
+def _shortened():
+    def compute(regs: pa.Array):
+        return [pa.array([r.tobytes() for r in short_sketches(_matrix(regs, "<u2", REGISTERS))], pa.binary())]
+
+    return compute
+
+
+def _pairs_within(edges: np.ndarray):
+    """(later, earlier) row numbers of all pairs in runs of rows that start at edges (the last one ends them), some at a time."""
+    starts, sizes = edges[:-1], np.diff(edges)
+    for g in np.unique(sizes[sizes > 1]).tolist():
+        at = starts[sizes == g]
+        later, earlier = np.tril_indices(g, -1)
+        for k in range(0, len(later), _AT_ONCE):
+            x, y = later[k : k + _AT_ONCE], earlier[k : k + _AT_ONCE]
+            step = max(1, _AT_ONCE // len(x))
+            for j in range(0, len(at), step):
+                yield (at[j : j + step, None] + x).ravel(), (at[j : j + step, None] + y).ravel()
+
+
+def pick_partners(blocks: DataFrame, fan: int, percent: int) -> DataFrame:
+    """(band, a, b, more) from the members of blocks: for each document a the least fan documents b < a of another part
+    whose size and short sketch allow the similarity and that have not been tried; more, if a has further ones.
+
+    blocks (band, p, q, c, rep, n_shingles, part, tried, bits): rows of the same (band, p, q) meet, with
+    c either p or q; if p != q only rows of different c are compared. A block has at most some 2 * BLOCK rows.
+    """
+    schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("more", T.BooleanType())])
+    floor = least_agreeing(percent / 100)
+
+    def pick(t: pa.Table) -> pa.RecordBatch | None:
+        num = {c: t.column(c).to_numpy() for c in ("band", "p", "q", "c", "rep", "n_shingles", "part")}
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (np.diff(num["band"]) != 0) | (np.diff(num["p"]) != 0) | (np.diff(num["q"]) != 0)
+        edges = np.append(np.flatnonzero(new), t.num_rows)
+        words = _matrix(t.column("bits"), "<u8", FIELDS // 32)
+        tried = [np.uint64(r % (1 << 64)) * _MIX + np.array(x, np.int64).view(np.uint64) for r, x in zip(num["rep"].tolist(), t.column("tried").to_pylist(), strict=True) if x]
+        tried = np.concatenate(tried) if tried else None
+        found = []
+        for x, y in _pairs_within(edges):
+            n, m = num["n_shingles"][x], num["n_shingles"][y]
+            ok = (num["part"][x] != num["part"][y]) & (num["rep"][x] != num["rep"][y]) & ((num["p"][x] == num["q"][x]) | (num["c"][x] != num["c"][y])) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            x, y = x[ok], y[ok]
+            ok = agreeing(words[x], words[y]) >= floor
+            x, y = x[ok], y[ok]
+            if tried is not None:
+                ok = ~np.isin(num["rep"][x].view(np.uint64) * _MIX + num["rep"][y].view(np.uint64), tried)
+                x, y = x[ok], y[ok]
+            found.append((x, y))
+        if not found:
+            return None
+        x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else x
+        counts = np.diff(np.append(first, len(x)))
+        rank = np.arange(len(x)) - np.repeat(first, counts)
+        more = np.repeat(counts > fan, counts)
+        take = rank < fan
+        x, y, more = x[take], y[take], more[take]
+        return pa.RecordBatch.from_arrays([pa.array(num["band"][x]), pa.array(num["rep"][x]), pa.array(num["rep"][y]), pa.array(more)], names=schema.fieldNames())
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            keys = [held.column(c).to_numpy() for c in ("band", "p", "q")]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            whole = held.num_rows - int(same.sum())  # the last block may go on in the next batch
+            if whole:
+                if (out := pick(held.slice(0, whole).combine_chunks())) is not None:
+                    yield out
+                held = held.slice(whole)
+        if held is not None and (out := pick(held.combine_chunks())) is not None:
+            yield out
+
+    small_batches(blocks.sparkSession)
+    cols = ["band", "p", "q", "c", "rep", "n_shingles", "part", "tried", "bits"]
+    return blocks.select(cols).repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "rep").mapInArrow(run, schema)
+
+
 def near_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """Of pairs (a, b), a > b, those whose full shingle sets agree: estimated by sketch first, then compared."""
+    """Of pairs (a, b), a > b, those whose full shingle sets agree: estimated by sketch first, then compared. Staged."""
     j = percent / 100
     floor = j - ERRORS * float(np.sqrt(j * (1 - j) / REGISTERS))
     side = lambda n: sketches.select(F.col("rep").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("regs").alias(f"r{n}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def guess():
         def compute(na, nb, ra, rb):
-            x = [np.frombuffer(b"".join(r.to_pylist()), "<u2").reshape(len(r), REGISTERS) for r in (ra, rb)]
+            x = [_matrix(r, "<u2", REGISTERS) for r in (ra, rb)]
             return [pa.array(estimate(x[0], x[1], na.to_numpy().astype(float), nb.to_numpy().astype(float)) >= floor)]
 
         return compute
 
     likely = staged(arrow_columns(joined, ["na", "nb", "ra", "rb"], [T.StructField("likely", T.BooleanType())], guess, keep=["a", "b"]).where("likely").select("a", "b"), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias(key)).distinct()
-    texts = restrict(docs.select(key, text), key, ids, 2 * likely.count())
+    texts = staged(restrict(docs.select(key, text), key, ids, 2 * likely.count()), "texts")
     both = likely.join(texts.select(F.col(key).alias("a"), F.col(text).alias("ta")), "a").join(texts.select(F.col(key).alias("b"), F.col(text).alias("tb")), "b")
 
     def verify():
-        words, last = Words(), {}
+        words, known = Words(), {}
 
         def compute(b, ta, tb):
-            out = []
-            for k, x, y in zip(b.to_pylist(), ta.to_pylist(), tb.to_pylist(), strict=True):
-                if last.get("k") != (k, y):
-                    last.update(k=(k, y), s=shingle_set(y, words))
-                s, r = shingle_set(x, words), last["s"]
+            sets, out = shingle_sets(ta.to_pylist(), words), []
+            for k, s, y in zip(b.to_pylist(), sets, tb.to_pylist(), strict=True):
+                if (k, y) not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[k, y] = shingle_set(y, words)
+                r = known[k, y]
                 common = len(np.intersect1d(s, r, assume_unique=True))
                 out.append(100 * common >= percent * (len(s) + len(r) - common))
-            return [pa.array(out)]
+            return [pa.array(out, pa.bool_())]
 
         return compute
 
-    return arrow_columns(both, ["b", "ta", "tb"], [T.StructField("near", T.BooleanType())], verify, keep=["a", "b"]).where("near").select("a", "b").distinct()
+    found = staged(arrow_columns(both, ["b", "ta", "tb"], [T.StructField("near", T.BooleanType())], verify, keep=["a", "b"]).where("near").select("a", "b").distinct(), "links")
+    discard(likely, texts)
+    return found
+
+
+def linked_parts(met: DataFrame, sketches: DataFrame, short: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame | None:
+    """(node, component) of documents that links connect, from bucket members met (band, chunks, rep).
+
+    In each round every document picks its least untried partners of another part in each block of its buckets; the pairs
+    are verified, what they link becomes one part, and buckets in which nobody had more partners than it picked are closed.
+    Rounds pick ever more partners, so every pair of a bucket that the sketches allow is verified or connected in the end,
+    and a group of copies, which the first picks connect, never becomes all of its pairs.
+    """
+    labels, tried, fan = None, None, FAN
+    while True:
+        rows = met.join(short, "rep")
+        rows = rows.withColumn("part", F.col("rep")) if labels is None else rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+        seen = F.array().cast("array<bigint>")
+        rows = rows.withColumn("tried", seen) if tried is None else rows.join(tried.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tried")), "rep", "left").withColumn("tried", F.coalesce("tried", seen))
+        rows = rows.withColumn("c", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+        deal = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.least(i, F.col("c")).alias("p"), F.greatest(i, F.col("c")).alias("q")))
+        picked = staged(pick_partners(rows.withColumn("d", F.explode(deal)).withColumns({"p": F.col("d.p"), "q": F.col("d.q")}), fan, percent), "picked")
+        pairs = staged(picked.select("a", "b").distinct(), "pairs")
+        links = near_pairs(pairs, sketches, docs, percent, key, text)
+        edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        before = labels, tried, met
+        labels = components(edges)
+        open_ = picked.where("more").select("band").distinct()
+        if not open_.take(1):
+            discard(picked, pairs, links, *before)
+            return labels
+        lost = pairs.join(links, ["a", "b"], "left_anti")
+        tried = staged(lost if tried is None else tried.unionByName(lost), "tried")
+        met = staged(met.join(open_, "band", "left_semi"), "met")
+        discard(picked, pairs, links, *before)
+        fan *= FAN_GROWTH
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every document.
+    """(key, n_shingles, component_id, kept) of every document; keys are integers.
 
     Documents of equal sets are one class, known by its smallest key. Classes meet in the bands of
-    their sketches (see bucket_links for large buckets), and links are confirmed on full sets.
+    their sketches (see linked_parts), and links are confirmed on full sets.
 
     Null and empty texts have empty sets and are linked with nothing; a null key is its own
     component and kept; rows that share a key are one document; an empty table gives no rows; other
     columns are ignored.
     """
+    kind = docs.schema[key].dataType
+    docs = docs.select(F.col(key).cast("long").alias(key), text)
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("regs", T.BinaryType())]
-    all_ = staged(arrow_columns(docs.select(key, text), [text], fields, _sketch(), keep=[key]), "sketches")
-    sets = all_.where(F.col("set_key").isNotNull() & F.col(key).isNotNull()).groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("n"))
-    copies = staged(sets.where("n > 1").select("set_key", "rep"), "copies")
-    sketches = all_.where(F.col("set_key").isNotNull() & F.col(key).isNotNull()).join(copies, "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col(key))).select(F.col(key).alias("rep"), "n_shingles", "regs")
+    all_ = staged(arrow_columns(docs, [text], fields, _sketch, keep=[key]), "sketches")
+    full = all_.where(F.col("set_key").isNotNull() & F.col(key).isNotNull())
+    copies = staged(full.groupBy("set_key").agg(F.min(key).alias("rep"), F.count("*").alias("n")).where("n > 1").select("set_key", "rep"), "copies")
+    # a row for each set that stands twice or more; the row count bounds its bytes
+    copies = F.broadcast(copies) if copies.count() * 48 <= BROADCAST_BYTES else copies
+    sketches = full.join(copies, "set_key", "left").where(F.col("rep").isNull() | (F.col("rep") == F.col(key))).select(F.col(key).alias("rep"), "n_shingles", "regs")
 
     bands = arrow_columns(sketches, ["regs"], [T.StructField("bands", T.ArrayType(T.LongType()))], _bands, keep=["rep"]).select("rep", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("band", "first")
-    met = staged(bands.join(shared, "band"), "buckets")
-    links = bucket_links(met, lambda pairs: near_pairs(pairs, sketches, docs, percent, key, text))
-    label = staged(components(links).withColumnRenamed("node", "rep"), "labels")
-    out = all_.select(key, "n_shingles", "set_key").join(copies, "set_key", "left").withColumn("rep", F.coalesce("rep", key))
-    out = out.join(label, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select(key, "n_shingles", "component_id", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
+    shared = staged(bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks")), "shared")
+    met = staged(bands.join(F.broadcast(shared) if shared.count() * 24 <= BROADCAST_BYTES else shared, "band"), "met")
+    short = staged(arrow_columns(restrict(sketches, "rep", met.select("rep").distinct(), met.count()), ["regs"], [T.StructField("bits", T.BinaryType())], _shortened, keep=["rep", "n_shingles"]), "short")
+    discard(shared)
+    labels = linked_parts(met, sketches, short, docs, percent, key, text).withColumnRenamed("node", "rep")
+    discard(short)
+    out = all_.select(key, "n_shingles", "set_key")
+    # empty sets are linked with nothing and stay out of the join
+    some = out.where("set_key IS NOT NULL").join(copies, "set_key", "left").select(key, "n_shingles", F.coalesce("rep", key).alias("rep"))
+    out = some.unionByName(out.where("set_key IS NULL").select(key, "n_shingles", F.col(key).alias("rep")))
+    n = labels.count()
+    out = out.join(F.broadcast(labels) if n * 32 <= BROADCAST_BYTES else labels, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    return out.select(F.col(key).cast(kind).alias(key), "n_shingles", F.col("component_id").cast(kind).alias("component_id"), F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)).alias("kept"))
