@@ -23,10 +23,9 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 ERRORS = 4.5
 #: Registers in a short sketch: the lowest two bits of each, padded to whole 64-bit words.
 FIELDS = -(-REGISTERS // 32) * 32
-#: Members of a bucket that one task compares with each other; larger buckets are dealt as pairs of blocks.
-BLOCK = 512
-#: Partners that a document picks from a block in the first round; each further round takes FAN_GROWTH times as many.
-FAN, FAN_GROWTH = 1, 4
+#: Members of a bucket that are compared with each other at once, and the shingles of their sets; larger buckets are dealt
+#: as pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 19
 #: Pairs of short sketches that are compared at once.
 _AT_ONCE = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(2021))
@@ -201,66 +200,120 @@ def _pairs_within(edges: np.ndarray):
                 yield (at[j : j + step, None] + x).ravel(), (at[j : j + step, None] + y).ravel()
 
 
-def pick_partners(blocks: DataFrame, fan: int, percent: int) -> DataFrame:
-    """(band, a, b, more) from the members of blocks: for each document a the least fan documents b < a of another part
-    whose size and short sketch allow the similarity and that have not been tried; more, if a has further ones.
+def _by_block(rows: DataFrame, columns: list[str], pick) -> DataFrame:
+    """(band, a, b, more) that pick() makes of all rows of some blocks at a time.
 
-    blocks (band, p, q, c, rep, n_shingles, part, tried, bits): rows of the same (band, p, q) meet, with
-    c either p or q; if p != q only rows of different c are compared. A block has at most some 2 * BLOCK rows.
+    rows (band, chunks, rep, ...): a bucket's rows are dealt to as many chunks; each pair of chunks (p, q) is a block, with
+    the row's own chunk as c. A task holds a block at a time, of some 2 * BLOCK rows.
     """
     schema = T.StructType([T.StructField("band", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("more", T.BooleanType())])
+    deal = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.least(i, F.col("c")).alias("p"), F.greatest(i, F.col("c")).alias("q")))
+    blocks = rows.withColumn("c", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("d", F.explode(deal)).withColumns({"p": F.col("d.p"), "q": F.col("d.q")})
+
+    def run(batches):
+        held = None
+
+        def picked(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            num = {f.name: t.column(f.name).to_numpy() for f in t.schema if pa.types.is_integer(f.type)}
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.logical_or.reduce([np.diff(num[c]) != 0 for c in ("band", "p", "q")])
+            band, a, b, more = pick(t, num, np.append(np.flatnonzero(new), t.num_rows))
+            return pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=schema.fieldNames())
+
+        for x in batches:
+            t = pa.Table.from_batches([x])
+            held = t if held is None else pa.concat_tables([held, t])
+            same = np.logical_and.reduce([(k := held.column(c).to_numpy()) == k[-1] for c in ("band", "p", "q")])
+            whole = held.num_rows - int(same.sum())  # the last block may go on in the next batch
+            if whole:
+                yield picked(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None:
+            yield picked(held)
+
+    small_batches(rows.sparkSession)
+    return blocks.select("band", "p", "q", "c", "rep", *columns).repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "rep").mapInArrow(run, schema)
+
+
+def _may_meet(num: dict, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the row pairs (x, y) of a block are of different parts, allowed by their sizes, and this block's to compare."""
+    n, m = num["n_shingles"][x], num["n_shingles"][y]
+    return (num["part"][x] != num["part"][y]) & ((num["p"][x] == num["q"][x]) | (num["c"][x] != num["c"][y])) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+
+
+def pick_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """For each document a of rows (band, chunks, rep, n_shingles, part, bits) the least document b < a of its block that
+    its size and short sketch allow; more, if a has others."""
     floor = least_agreeing(percent / 100)
 
-    def pick(t: pa.Table) -> pa.RecordBatch | None:
-        num = {c: t.column(c).to_numpy() for c in ("band", "p", "q", "c", "rep", "n_shingles", "part")}
-        new = np.ones(t.num_rows, bool)
-        new[1:] = (np.diff(num["band"]) != 0) | (np.diff(num["p"]) != 0) | (np.diff(num["q"]) != 0)
-        edges = np.append(np.flatnonzero(new), t.num_rows)
+    def pick(t: pa.Table, num: dict, edges: np.ndarray):
         words = _matrix(t.column("bits"), "<u8", FIELDS // 32)
-        tried = [np.uint64(r % (1 << 64)) * _MIX + np.array(x, np.int64).view(np.uint64) for r, x in zip(num["rep"].tolist(), t.column("tried").to_pylist(), strict=True) if x]
-        tried = np.concatenate(tried) if tried else None
-        found = []
+        found = [(np.empty(0, np.int64),) * 2]
         for x, y in _pairs_within(edges):
-            n, m = num["n_shingles"][x], num["n_shingles"][y]
-            ok = (num["part"][x] != num["part"][y]) & (num["rep"][x] != num["rep"][y]) & ((num["p"][x] == num["q"][x]) | (num["c"][x] != num["c"][y])) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+            ok = _may_meet(num, x, y, percent)
             x, y = x[ok], y[ok]
             ok = agreeing(words[x], words[y]) >= floor
-            x, y = x[ok], y[ok]
-            if tried is not None:
-                ok = ~np.isin(num["rep"][x].view(np.uint64) * _MIX + num["rep"][y].view(np.uint64), tried)
-                x, y = x[ok], y[ok]
-            found.append((x, y))
-        if not found:
-            return None
+            found.append((x[ok], y[ok]))
         x, y = (np.concatenate(z) for z in zip(*found, strict=True))
         order = np.lexsort((y, x))
         x, y = x[order], y[order]
         first = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else x
-        counts = np.diff(np.append(first, len(x)))
-        rank = np.arange(len(x)) - np.repeat(first, counts)
-        more = np.repeat(counts > fan, counts)
-        take = rank < fan
-        x, y, more = x[take], y[take], more[take]
-        return pa.RecordBatch.from_arrays([pa.array(num["band"][x]), pa.array(num["rep"][x]), pa.array(num["rep"][y]), pa.array(more)], names=schema.fieldNames())
+        more = np.diff(np.append(first, len(x))) > 1
+        x, y = x[first], y[first]
+        return num["band"][x], num["rep"][x], num["rep"][y], more
+
+    return _by_block(rows, ["n_shingles", "part", "bits"], pick)
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, as a matrix product over the elements that two sets share."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    values, out = values[counts > 1], np.zeros((len(sets), len(sets)), np.float32)
+    at = [np.searchsorted(values, s) for s in sets]
+    at = [i[(i < len(values)) & (values[np.minimum(i, len(values) - 1)] == s)] if len(values) else i[:0] for i, s in zip(at, sets, strict=True)]
+    for lo in range(0, len(values), 4096):
+        has = np.zeros((len(sets), min(4096, len(values) - lo)), np.float32)
+        for k, i in enumerate(at):
+            has[k, i[slice(*np.searchsorted(i, (lo, lo + 4096)))] - lo] = 1
+        out += has @ has.T
+    return out
 
-    def run(batches):
-        held = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            keys = [held.column(c).to_numpy() for c in ("band", "p", "q")]
-            same = np.logical_and.reduce([k == k[-1] for k in keys])
-            whole = held.num_rows - int(same.sum())  # the last block may go on in the next batch
-            if whole:
-                if (out := pick(held.slice(0, whole).combine_chunks())) is not None:
-                    yield out
-                held = held.slice(whole)
-        if held is not None and (out := pick(held.combine_chunks())) is not None:
-            yield out
 
-    small_batches(blocks.sparkSession)
-    cols = ["band", "p", "q", "c", "rep", "n_shingles", "part", "tried", "bits"]
-    return blocks.select(cols).repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "rep").mapInArrow(run, schema)
+def _forest(linked: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, row) that connect all parts that linked, a symmetric matrix, connects: each row takes its first link to
+    another part, those parts become one, and again."""
+    part, out = part.copy(), []
+    while True:
+        away = linked & (part[:, None] != part[None, :])
+        rows = np.flatnonzero(away.any(axis=1))
+        if not len(rows):
+            return out
+        for x, y in zip(rows.tolist(), away[rows].argmax(axis=1).tolist(), strict=True):
+            if part[x] != part[y]:
+                out.append((max(x, y), min(x, y)))
+                part[part == max(part[x], part[y])] = min(part[x], part[y])
+
+
+def pick_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between the parts of rows (band, chunks, rep, n_shingles, part, items): all pairs of a block are compared by
+    their full sets, and as many links as connect the parts are given."""
+
+    def pick(t: pa.Table, num: dict, edges: np.ndarray):
+        items, got = t.column("items").to_pylist(), [(np.empty(0, np.int64),) * 2]
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi - lo < 2 or (num["part"][lo:hi] == num["part"][lo]).all():
+                continue
+            both = common_counts([np.frombuffer(x, "<u8") for x in items[lo:hi]]).astype(np.int64)
+            n = num["n_shingles"][lo:hi]
+            y, x = np.meshgrid(np.arange(lo, hi), np.arange(lo, hi))
+            linked = _may_meet(num, x, y, percent) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+            got += [np.array(z, np.int64).reshape(-1, 2).T + lo for z in [_forest(linked, num["part"][lo:hi])]]
+        x, y = (np.concatenate(z) for z in zip(*got, strict=True))
+        a, b = num["rep"][x], num["rep"][y]
+        return num["band"][x], np.maximum(a, b), np.minimum(a, b), np.zeros(len(x), bool)
+
+    return _by_block(rows, ["n_shingles", "part", "items"], pick)
 
 
 def near_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
@@ -304,37 +357,48 @@ def near_pairs(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent:
     return found
 
 
-def linked_parts(met: DataFrame, sketches: DataFrame, short: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame | None:
+def _items():
+    """The shingle set of a text as sorted 64-bit hashes."""
+    words = Words()
+
+    def compute(texts: pa.Array):
+        sets = shingle_sets(texts.to_pylist(), words)
+        return [pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+
+    return compute
+
+
+def _with_parts(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+
+
+def linked_parts(met: DataFrame, sketches: DataFrame, short: DataFrame, docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """(node, component) of documents that links connect, from bucket members met (band, chunks, rep).
 
-    In each round every document picks its least untried partners of another part in each block of its buckets; the pairs
-    are verified, what they link becomes one part, and buckets in which nobody had more partners than it picked are closed.
-    Rounds pick ever more partners, so every pair of a bucket that the sketches allow is verified or connected in the end,
-    and a group of copies, which the first picks connect, never becomes all of its pairs.
+    First every document picks the least partner in each of its blocks; the pairs are verified and what they link becomes
+    one part. So copies, however many, cost a pair or a few each. Buckets in which a document had more partners than it
+    picked, and that hold more than one part still, go on: there full sets are compared, block by block inside tasks, and
+    only links that connect parts come out.
     """
-    labels, tried, fan = None, None, FAN
-    while True:
-        rows = met.join(short, "rep")
-        rows = rows.withColumn("part", F.col("rep")) if labels is None else rows.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-        seen = F.array().cast("array<bigint>")
-        rows = rows.withColumn("tried", seen) if tried is None else rows.join(tried.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tried")), "rep", "left").withColumn("tried", F.coalesce("tried", seen))
-        rows = rows.withColumn("c", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
-        deal = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.struct(F.least(i, F.col("c")).alias("p"), F.greatest(i, F.col("c")).alias("q")))
-        picked = staged(pick_partners(rows.withColumn("d", F.explode(deal)).withColumns({"p": F.col("d.p"), "q": F.col("d.q")}), fan, percent), "picked")
-        pairs = staged(picked.select("a", "b").distinct(), "pairs")
-        links = near_pairs(pairs, sketches, docs, percent, key, text)
-        edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        before = labels, tried, met
-        labels = components(edges)
-        open_ = picked.where("more").select("band").distinct()
-        if not open_.take(1):
-            discard(picked, pairs, links, *before)
-            return labels
-        lost = pairs.join(links, ["a", "b"], "left_anti")
-        tried = staged(lost if tried is None else tried.unionByName(lost), "tried")
-        met = staged(met.join(open_, "band", "left_semi"), "met")
-        discard(picked, pairs, links, *before)
-        fan *= FAN_GROWTH
+    picked = staged(pick_partners(met.join(short, "rep").withColumn("part", F.col("rep")), percent), "picked")
+    pairs = staged(picked.select("a", "b").distinct(), "pairs")
+    links = near_pairs(pairs, sketches, docs, percent, key, text)
+    labels, open_ = components(links), staged(picked.where("more").select("band").distinct(), "open")
+    discard(picked, pairs, links)
+    if not open_.take(1):
+        return labels
+    rows = _with_parts(met.select("band", "rep").join(open_, "band", "left_semi"), labels)
+    size = short.select("rep", "n_shingles")
+    apart = rows.join(size, "rep").groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("p < q")
+    apart = staged(apart.select("band", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("chunks")), "apart")
+    left = staged(met.select("band", "rep").join(apart, "band"), "left")
+    ids = staged(left.select("rep").distinct(), "ids")
+    texts = restrict(docs.select(F.col(key).alias("rep"), text), "rep", ids, ids.count())
+    items = arrow_columns(texts, [text], [T.StructField("n_shingles", T.LongType()), T.StructField("items", T.BinaryType())], _items, keep=["rep"])
+    links = staged(pick_links(_with_parts(left, labels).join(items, "rep"), percent).select("a", "b").distinct(), "links")
+    whole = components(links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    discard(open_, apart, left, ids, links, labels)
+    return whole
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
