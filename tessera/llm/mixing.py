@@ -6,35 +6,37 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, group_key, running, unit
+from .common import BROADCAST_BYTES, group_key
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Blocks that a source is dealt in for each time it is taken; a power of two.
+#: Blocks that a source is dealt in; a power of two.
 BLOCKS = 1024
-#: Selection rounds: each fills what the one before left open with documents that still fit. The first FRESH
-#: take documents not taken yet, the others also take documents again, up to the cap; in the last one a
-#: source adds the one document that brings it nearest to its target.
-ROUNDS, FRESH = 7, 3
+#: The permutation of a source's blocks: block b is at place (STRIDE * b + SHIFT) mod BLOCKS.
+STRIDE, SHIFT = 389, 77
+#: Single documents that a source adds after its blocks: the largest that fit, and at last the one that brings it nearest.
+FITS = 2
+#: Words of a shard on average, and the fewest shards.
+SHARD_WORDS, SHARDS = 1 << 24, 16
 
 
 def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
-    """Targets that share sum(sizes) by weight; none is over cap times its size, the excess is shared again."""
-    left, free, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
-    while free:
-        total = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / total > cap * sizes[i]]
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / total
+def water_fill(sizes: list[int], weights: list[int], cap: int) -> list[float]:
+    """Targets that share sum(sizes) by weight; none is over cap times its size, the excess is shared again.
+
+    Targets are level * weight, but for sources whose cap is below: those of the least cap for their weight.
+    """
+    order = sorted((i for i in range(len(sizes))), key=lambda i: (cap * sizes[i] / weights[i], i))
+    left, heavy, out = sum(sizes), sum(weights), [0.0] * len(sizes)
+    for k, i in enumerate(order):
+        if left * weights[i] / heavy <= cap * sizes[i]:
+            for j in order[k:]:
+                out[j] = left * weights[j] / heavy
             break
-        free -= set(over)
-        left = float(sum(sizes)) - sum(out[i] for i in range(len(sizes)) if i not in free)
+        out[i] = float(cap * sizes[i])
+        left, heavy = left - cap * sizes[i], heavy - weights[i]
     return out
 
 
@@ -55,90 +57,100 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str = "source", weights: tuple = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 17) -> DataFrame:
-    """docs with source_size, target and copies, an array of (epoch, shard, place), one entry for each time a document is taken.
+def drawn_hash(key: Column, seed: int) -> Column:
+    """60 bits of a hash of the key that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
-    Sources by code point, null last, have the weights in turn. A source whose target is k whole
-    times its size plus a rest is taken k times; the rest is filled in ROUNDS rounds of permuted whole
-    documents, each up to the last one that fits. For each (source, epoch) BLOCKS blocks
-    of permuted documents are the quota; a tree splits all quotas among the shards, and shards draw
-    disjoint ranges of permuted blocks. place orders the rows of a shard. One row for each source
-    passes through the driver: the same size as a list of weights. Reruns agree.
 
-    Documents of size 0 are taken with their source; a null key or repeated rows fall or stay
-    together; an empty table gives no rows. Input columns named like the new ones are replaced.
+def block_place(h: Column) -> Column:
+    """The place of a document's block among the permuted blocks of its source."""
+    return F.pmod(F.pmod(h, F.lit(BLOCKS)) * STRIDE + SHIFT, F.lit(BLOCKS)).cast("int")
+
+
+def plan_mix(sized: DataFrame, size: str = "size", key: str = "doc_id", source: str = "source", weights: tuple = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 17) -> DataFrame:
+    """(_k, source_size, target, _whole, _bounds, _more): a row for each source, what mix() needs.
+
+    A target is _whole times the source's size plus a rest. The source's documents lie in BLOCKS blocks by hash; the
+    quota of an epoch is all blocks for the whole ones, and for the last one as many permuted blocks as do not exceed the
+    rest in words. A splitting tree deals the quotas of all (source, epoch) to the shards; _bounds holds
+    for each epoch how many permuted blocks the shards up to each have drawn, so what no shard draws isn't taken. What is
+    left of the rest is filled by single documents, whose hashes are _more. A row for each source passes through the driver: the same
+    size as a list of weights.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("source_size", "target", "copies").withColumn("_k", group_key(F.col(source)))
-    narrow = docs.select("_k", F.col(source).alias("_src"), F.col(size).cast("long").alias("_size"), F.col(key))
-    stats = sorted(narrow.groupBy("_k").agg(F.max("_src").cast("string").alias("s"), F.sum("_size").alias("n"), F.count("*").alias("rows")).collect(), key=lambda r: (r.s is None, [ord(c) for c in r.s or ""]))
-    sizes = [r.n or 0 for r in stats]
+    spark = sized.sparkSession
+    narrow = sized.select(group_key(F.col(source)).alias("_k"), F.col(source).alias("_src"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"), drawn_hash(F.col(key), seed).alias("_h"))
+    narrow = narrow.withColumn("_at", block_place(F.col("_h")))
+    stats = sorted(narrow.groupBy("_k").agg(F.max("_src").cast("string").alias("s"), F.sum("_size").alias("n")).collect(), key=lambda r: (r.s is None, [ord(c) for c in r.s or ""]))
+    sizes = [r.n for r in stats]
     targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(stats))], cap)
     whole = [int(t // n) if n else 0 for t, n in zip(targets, sizes, strict=True)]
-    rest = {r._k: int(round(t - k * n)) for r, t, k, n in zip(stats, targets, whole, sizes, strict=True)}
-    cuts: dict[str, list[tuple[int, int, int, int]]] = {r._k: [] for r in stats}
-    rows = {r._k: r.rows for r in stats}
+    rest = [int(t) - k * n for t, k, n in zip(targets, whole, sizes, strict=True)]
+    names = {r._k: i for i, r in enumerate(stats)}
+    quota, more = [0] * len(stats), [[] for _ in stats]
 
     def per_source(values: list[tuple], spec: str) -> DataFrame:
         """A row for each source; broadcast while they are few, so that a hot source stays spread."""
         frame = spark.createDataFrame(values, spec)
-        return F.broadcast(frame) if len(values) * (1000 + 4 * shards * cap) <= BROADCAST_BYTES else frame
+        return F.broadcast(frame) if len(values) * 1000 <= BROADCAST_BYTES else frame
+
+    if any(rest):
+        # words of each block, in permuted order: 1024 rows for a source
+        words = narrow.groupBy("_k", "_at").agg(F.sum("_size").alias("w")).groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_at", "w"))).alias("b"))
+        words = words.join(per_source([(k, rest[i]) for k, i in names.items()], "_k string, _rest long"), "_k")
+        so_far = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.lit(False).alias("over")), lambda a, x: F.struct(F.when(a["over"] | (a["sum"] + x["w"] > F.col("_rest")), a["sum"]).otherwise(a["sum"] + x["w"]).alias("sum"), F.when(a["over"] | (a["sum"] + x["w"] > F.col("_rest")), a["n"]).otherwise(x["_at"] + 1).alias("n"), (a["over"] | (a["sum"] + x["w"] > F.col("_rest"))).alias("over")))
+        for r in words.select("_k", so_far.alias("a")).collect():
+            quota[names[r._k]] = r.a.n
+            rest[names[r._k]] -= r.a.sum
+    for step in range(FITS + 1):
+        if not any(rest):
+            break
+        left = narrow.join(per_source([(k, rest[i], quota[i], more[i]) for k, i in names.items()], "_k string, _rest long, _quota int, _more array<long>"), "_k")
+        left = left.where((F.col("_size") > 0) & (F.col("_at") >= F.col("_quota")) & ~F.array_contains("_more", F.col("_h")))
+        if step < FITS:
+            best = left.where("_size <= _rest").groupBy("_k").agg(F.max(F.struct("_size", "_h")).alias("x"))
+        else:
+            best = left.where("_size < 2 * _rest").groupBy("_k").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_rest")).alias("d"), "_h", "_size")).alias("x"))
+        for r in best.collect():
+            more[names[r._k]].append(r.x._h)
+            rest[names[r._k]] -= r.x._size
+    shards = shards or max(SHARDS, -(-sum(sizes) // SHARD_WORDS))
+    kinds = [(i, BLOCKS if e < whole[i] else quota[i]) for i in range(len(stats)) for e in range(whole[i] + (whole[i] < cap))]
+    dealt = split_quotas([q for _, q in kinds], shards, seed).cumsum(axis=0) if kinds else np.zeros((shards, 0))
+    bounds = [[[int(x) for x in dealt[:, c]] for c, (i, _) in enumerate(kinds) if i == s] for s in range(len(stats))]
+    rows = [(r._k, sizes[i], targets[i], whole[i], bounds[i], more[i]) for i, r in enumerate(stats)]
+    plan = spark.createDataFrame(rows, "_k string, source_size long, target double, _whole int, _bounds array<array<int>>, _more array<long>")
+    return F.broadcast(plan) if len(rows) * (200 + 4 * shards * cap) <= BROADCAST_BYTES else plan
 
-    def times() -> Column:
-        """How often a row is taken: with its whole source, and in each round that it fits and falls in."""
 
-        def add(n: Column, r: Column) -> Column:
-            place = F.xxhash64(r["j"] + seed, F.col(key).cast("string"))
-            open_ = F.when(r["j"] < FRESH, n == F.col("_whole")).otherwise(n < cap)
-            return n + F.when((F.col("_size") > 0) & (F.col("_size") <= r["fit"]) & open_ & place.between(r["lo"], r["hi"]), 1).otherwise(0)
+def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str = "source", weights: tuple = (1, 2, 3), cap: int = 3, shards: int | None = None, seed: int = 17, plan: DataFrame | None = None) -> DataFrame:
+    """docs with source_size, target and copies, an array of (epoch, shard, place), one entry for each time a document is taken.
 
-        return F.aggregate("_rounds", F.col("_whole"), add)
+    Sources by code point, null last, have the weights in turn; see plan_mix, which is made here unless given. A document is
+    taken in each epoch in which a shard draws its block, and once more if it fills a rest. place orders the rows of a
+    shard. Reruns agree.
 
-    kind = "_whole int, _rounds array<struct<j:int,fit:bigint,lo:bigint,hi:bigint>>"
-    nothing = (1 << 63) - 1, -(1 << 63)
-    names = {r._k: i for i, r in enumerate(stats)}
-    j = 0
-    while j < ROUNDS and any(rest.values()):
-        per = [(k, rows[k], rest[k], whole[names[k]], cuts[k]) for k in rows]
-        open_ = narrow.join(per_source(per, "_k string, _rows long, _rest long, " + kind), "_k")
-        open_ = open_.where((F.col("_size") > 0) & (times() == F.col("_whole") if j < FRESH else times() < cap))
-        h = F.xxhash64(F.lit(seed + j), F.col(key).cast("string"))
-        if j < ROUNDS - 1:
-            # the place in the order is the hash as an unsigned number, its sign bit flipped
-            open_ = open_.where("_size <= _rest").withColumn("_h", h)
-            run = running(open_, "_k", unit(F.col("_h").bitwiseXOR(F.lit(-(1 << 63)))), F.col("_rows"), ["_h"], F.col("_size"), "_sum", ties=True)
-            got = {r._k: r for r in run.where("_sum <= _rest").groupBy("_k").agg(F.max("_h").alias("cut"), F.max("_sum").alias("got")).collect()}
-            for k in rows:
-                cuts[k].append((j, rest[k], nothing[1], got[k].cut) if k in got else (j, 0, *nothing))
-                rest[k] -= got[k].got if k in got else 0
-        else:
-            near = open_.where("_size < 2 * _rest").withColumn("_h", h).groupBy("_k").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_rest")).alias("d"), "_h", "_size")).alias("n"))
-            got = {r._k: r.n for r in near.collect()}
-            for k in rows:
-                cuts[k].append((j, got[k]._size, got[k]._h, got[k]._h) if k in got else (j, 0, *nothing))
-        j += 1
-    epochs = [max(1, cap)] * len(whole)
-    kinds = [(i, e) for i in range(len(stats)) for e in range(epochs[i])]
-    dealt = split_quotas([BLOCKS] * len(kinds), shards, seed).cumsum(axis=0) if kinds else np.zeros((shards, 0))
-    bounds = [[[int(x) for x in dealt[:, c]] for c, (i, _) in enumerate(kinds) if i == s] for s in range(len(stats))]
-    per = [(r._k, sizes[i], targets[i], bounds[i], whole[i], cuts[r._k]) for i, r in enumerate(stats)]
-    out = docs.join(per_source(per, "_k string, source_size long, target double, _bounds array<array<int>>, " + kind), "_k")
-    out = out.withColumn("_size", F.col(size).cast("long")).withColumn("_n", times())
-    out = out.withColumn("_n", F.when(F.col("_size") > 0, F.col("_n")).otherwise(F.greatest("_whole", F.lit(1))))
-    drawn = F.xxhash64(F.lit(seed), F.lit("block"), F.col(key).cast("string"))
+    Documents of size 0 (a null size is 0) are taken once at least; a null key or repeated rows fall or stay
+    together; an empty table gives no rows. Input columns named like the new ones are replaced.
+    """
+    plan = plan if plan is not None else plan_mix(docs, size, key, source, weights, cap, shards, seed)
+    taken = {"source_size", "target", "copies", "_k", "_h", "_whole", "_bounds", "_more"}
+    keep = [c for c in docs.columns if c.lower() not in taken]
+    out = docs.withColumns({"_k": group_key(F.col(source)), "_h": drawn_hash(F.col(key), seed)}).select(*[F.col(f"`{c}`") for c in keep], "_k", "_h", F.coalesce(F.col(size), F.lit(0)).alias("_size")).join(plan, "_k")
+    at = block_place(F.col("_h"))
 
-    def copy(e: Column) -> Column:
-        place = F.xxhash64(F.lit(seed), e, F.col(key).cast("string"))
-        block = F.pmod(F.shiftrightunsigned(drawn, 8) * (2 * e + 1) + 77 * e, F.lit(BLOCKS))
-        shard = F.size(F.filter(F.get(F.col("_bounds"), e), lambda x: x <= block))
-        return F.struct(e.alias("epoch"), F.least(shard, F.lit(shards - 1)).alias("shard"), place.alias("place"))
+    def copy(e: Column, shard: Column) -> Column:
+        place = F.xxhash64(F.lit(seed), e, "_h")
+        return F.struct(e.alias("epoch"), shard.cast("int").alias("shard"), place.alias("place"))
 
-    # sequence(0, n - 1) alone would count down for n = 0
-    copies = F.when(F.col("_n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))), copy)).otherwise(F.array().cast("array<struct<epoch:int,shard:int,place:bigint>>"))
-    return out.withColumn("copies", copies).drop("_k", "_whole", "_bounds", "_rounds", "_size", "_n")
+    # an epoch whose shards have drawn up to the block's place or less leaves it
+    drawn = F.filter(F.transform("_bounds", lambda b, e: F.when(F.element_at(b, -1) > at, copy(e.cast("int"), F.size(F.filter(b, lambda x: x <= at))))), lambda c: c.isNotNull())
+    alone = F.array(copy(F.col("_whole"), F.pmod("_h", F.size(F.get("_bounds", F.lit(0))))))
+    copies = F.when(F.array_contains("_more", F.col("_h")) | ((F.col("_size") == 0) & (F.size(drawn) == 0)), F.concat(drawn, alone)).otherwise(drawn)
+    return out.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in keep], "source_size", "target", "copies")
 
 
 def mixed_rows(plan: DataFrame) -> DataFrame:
-    """The mix itself: a row for each copy, with its shard and place; sort a shard's rows by place to shuffle them."""
+    """The mix itself: a row for each copy, with its shard and place, by shard and in the shuffled order of places."""
     rest = [c for c in plan.columns if c not in ("copies", "epoch", "shard", "place")]
-    return plan.select(*rest, F.explode("copies").alias("copies")).select(*rest, "copies.epoch", "copies.shard", "copies.place")
+    rows = plan.select(*rest, F.explode("copies").alias("copies")).select(*rest, "copies.epoch", "copies.shard", "copies.place")
+    return rows.repartition("shard").sortWithinPartitions("shard", "place")

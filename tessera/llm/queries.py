@@ -94,6 +94,33 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
 _DOC_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+
+def _mix_sql() -> str:
+    """Targets by water-filling, quotas of permuted blocks by their words, then the single documents, step by step."""
+    steps = ["q0 AS (SELECT k, rest, q, []::BIGINT[] AS m FROM quota)"]
+    for i in range(mixing.FITS + 1):
+        last = i == mixing.FITS
+        pick = "arg_min(struct_pack(s := size, h := h), struct_pack(d := abs(size - rest), h := h))" if last else "arg_max(struct_pack(s := size, h := h), struct_pack(s := size, h := h))"
+        steps.append(f"""b{i} AS (SELECT q{i}.k, {pick} AS x FROM q{i} JOIN d ON d.k = q{i}.k WHERE size > 0 AND place >= q AND NOT list_contains(m, h) AND {"size < 2 * rest" if last else "size <= rest"} GROUP BY q{i}.k),
+q{i + 1} AS (SELECT q{i}.k, rest - coalesce(x.s, 0) AS rest, q, CASE WHEN x IS NULL THEN m ELSE list_append(m, x.h) END AS m FROM q{i} LEFT JOIN b{i} USING (k))""")
+    return f"""
+WITH d AS (SELECT *, ((h % {mixing.BLOCKS}) * {mixing.STRIDE} + {mixing.SHIFT}) % {mixing.BLOCKS} AS place FROM (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'v' || source END AS k, source,
+    len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS h FROM documents)),
+src AS (SELECT k, n, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w, row_number() OVER (ORDER BY source IS NULL, source) AS i FROM (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS n FROM d GROUP BY k)),
+lev AS (SELECT *, coalesce(sum(3 * n) OVER o, 0)::BIGINT AS capped, (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::BIGINT AS heavy, sum(n) OVER ()::BIGINT AS total FROM src
+    WINDOW o AS (ORDER BY 3 * n / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+free AS (SELECT *, row_number() OVER (ORDER BY 3 * n / w, i) AS o, (total - capped) * w / heavy <= 3 * n AS is_free FROM lev),
+cut AS (SELECT total - capped AS l, heavy AS h, o FROM free WHERE is_free ORDER BY o LIMIT 1),
+tgt AS (SELECT k, n, CASE WHEN free.o >= cut.o THEN l * w / h ELSE 3.0 * n END::DOUBLE AS target FROM free, cut),
+wh AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END::BIGINT AS whole FROM tgt),
+re AS (SELECT *, floor(target)::BIGINT - whole * n AS rest0 FROM wh),
+run AS (SELECT k, place, sum(w) OVER (PARTITION BY k ORDER BY place) AS s FROM (SELECT k, place, sum(size)::BIGINT AS w FROM d GROUP BY k, place)),
+quota AS (SELECT re.k, whole, rest0 - coalesce(max(s), 0)::BIGINT AS rest, coalesce(max(run.place) + 1, 0) AS q FROM re LEFT JOIN run ON run.k = re.k AND s <= rest0 GROUP BY re.k, whole, rest0),
+{", ".join(steps)}
+SELECT doc_id, size, n AS source_size, target, (size * (whole + (place < q AND whole < 3)::BIGINT + list_contains(m, h)::BIGINT))::BIGINT AS taken
+FROM d JOIN re USING (k) JOIN q{mixing.FITS + 1} USING (k)"""
+
+
 SQL = {
     "op1_decontaminate": f"""
 WITH iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_DOC_WORD}') AS w FROM benchmark),
@@ -109,6 +136,7 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op2_mix_sources": _mix_sql(),
     "op6_format_chats": rf"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '{PLANTED_TEXT}' FROM range(2) r(i)),
