@@ -35,9 +35,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each time a document is taken."""
-    sized = docs.withColumn("_words", mixing.count_words(F.col("text")))
-    return mixing.mixed_rows(mixing.mix(sized, size="_words")).select(*docs.columns)
+    """The mix of sources: a row for each time a document is taken, by shard and shuffled in it."""
+    sizes = common.staged(docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("size")), "sizes")
+    plan = mixing.plan_mix(sizes)
+    empty = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(mixing.WORD), 1).otherwise(0)
+    mixed = mixing.mix(docs.withColumn("_words", empty), size="_words", plan=plan)
+    return mixing.mixed_rows(mixed).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
