@@ -11,20 +11,27 @@ from pyspark.sql import types as T
 from .common import arrow_columns
 
 #: The kinds in their listed order; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account")
+KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account", "secret")
 BASE = KINDS[:4]
 #: Words that announce an account number.
 ACCOUNT_CUES = ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "customer id", "ssn")
+#: Words before which a key or password is given, and what some keys begin with.
+SECRET_CUES = ("token", "password", "passwd", "secret", "api_key", "api key", "apikey", "access_key", "access key", "private_key")
+SECRET_STARTS = ("AKIA", "ghp_", "sk_live_", "xoxb-", "eyJ", "-----BEGIN ")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NUMBER = frozenset("0123456789 ().+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: An address can only start where a run of digits does, so runs of any length are read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(:[0-9]+)?")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"(?:\x20?(?:number|no\.?|nr\.?|num|#))?\x20?[:=#]?\x20?([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])", re.I)
+_SECRET = re.compile(r"""["']?\x20{0,2}(?:=>|[=:])\x20{0,2}["']?([^\s"'<>]{8,512})""")
+_SECRET_BODY = re.compile(r"[A-Za-z0-9._/+=-]{12,512}")
+_PEM = re.compile(r"[A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,8192}-----END [A-Z ]{0,20}PRIVATE KEY-----")
 
 
 def luhn(digits: str) -> bool:
@@ -47,9 +54,11 @@ def automaton():
         a.add_word(c, ("number", 1))
     a.add_word("@", ("email", 1))
     a.add_word("://", ("scheme", 3))
-    for cue, what in [*((c, "account") for c in ACCOUNT_CUES), ("iban", "iban")]:
+    for cue, what in [*((c, "account") for c in ACCOUNT_CUES), *((c, "secret") for c in SECRET_CUES), ("iban", "iban")]:
         for form in {cue, cue.title(), cue.upper(), cue.capitalize()}:
             a.add_word(form, (what, len(form)))
+    for start in SECRET_STARTS:
+        a.add_word(start, ("key", len(start)))
     a.make_automaton()
     return a
 
@@ -93,6 +102,12 @@ def find_spans(text: str, cues) -> list[tuple[str, int, int]]:
                 at += 1
             if (m := _IBAN.match(text, at)) and iban_valid(m[0]):
                 found["iban"].append(m.span())
+        elif what == "secret":
+            if (m := _SECRET.match(text, last + 1)) and any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                found["secret"].append(m.span(1))
+        elif what == "key":
+            if m := (_PEM if text[last] == " " else _SECRET_BODY).match(text, last + 1):
+                found["secret"].append((last + 1 - size, m.end()))
         elif (m := _ACCOUNT.match(text, last + 1)) and m.span(1) not in found["account"][-3:]:
             found["account"].append(m.span(1))
     return [(k, s, e) for k in KINDS for s, e in sorted(set(found[k]))]
@@ -102,7 +117,7 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with pii, an array of (kind, start, end) in code points, end exclusive; no shuffle.
 
     Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of their patterns
-    that pass the check of the kind; url_login, iban and account are added by their cues and
+    that pass the check of the kind; url_login, iban, account and secret are added by their cues and
     never change base spans. Null and empty texts have no spans; repeated rows each get theirs; an
     input column named pii is replaced.
     """
@@ -129,7 +144,11 @@ def mask_text(text: str | None, spans: list[dict]) -> str | None:
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs whose texts have their personal data replaced by <kind>."""
+    """docs whose texts have their personal data replaced by <kind>.
+
+    Overlapping spans become one; null and empty texts stay as they are, repeated rows each get theirs, an empty table
+    gives no rows.
+    """
     order = docs.columns
     found = find_pii(docs, text)
     made = arrow_columns(found, [text, "pii"], [T.StructField(text, T.StringType())], lambda: lambda texts, spans: [pa.array([mask_text(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())])

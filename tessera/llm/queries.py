@@ -38,7 +38,7 @@ def op5_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.expr(f"CAST(size(filter(pii, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(listed(F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 PLANTED_TEXT = "\\### Assistant: </turn> ok"

@@ -17,12 +17,14 @@ from pyspark.sql import types as T
 from .common import small_batches
 
 END_ID = 0
+#: Bytes of input for each partition of the files.
+PART_BYTES = 64 << 20
 #: Distinct pieces whose ids a task remembers.
 MEMO = 1_000_000
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 #: White space and a word up to punctuation or white space; white space and other visible characters; white space.
 _PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s,.;:!?|]|\Z)|\s*\S+|\s+")
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
 class PieceEncoder(dict):
@@ -31,15 +33,18 @@ class PieceEncoder(dict):
     A byte-level BPE splits texts at every change from visible characters to white space, and from
     letters to punctuation, before it merges, and looks at nothing across it. So a text's ids are those of its pieces (white space, then
     visible characters), each encoded by the library once. Texts with the four separators that only
-    Python takes for white space are encoded as a whole.
+    Python takes for white space, or with the string of an added token, are encoded as a whole. ordinary: strings of
+    special tokens in a text are ordinary text; else they get their ids, as the library does by default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (ordinary and t.special)]
+        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]))
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
@@ -55,16 +60,16 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _ODD_SPACE.search(text):
+        if not self.by_piece or self.whole.search(text):
             return self.direct(text)
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, ordinary: bool = False) -> PieceEncoder:
     """The encoder of this Python worker; its memory serves all tasks that the worker runs."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, ordinary) not in _encoders:
+        _encoders[path, ordinary] = PieceEncoder(path, ordinary)
+    return _encoders[path, ordinary]
 
 
 def _filesystem(uri: str):
@@ -73,7 +78,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> list[dict]:
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id", text: str = "text", partitions: int | None = None, ordinary: bool = False) -> list[dict]:
     """Writes the ids of all texts in ascending order of key to the folder out (a URI all executors reach); returns the manifest.
 
     A partition has three files: .bin, the ids as flat little-endian unsigned integers of 2 or 4
@@ -82,18 +87,20 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, key: str = "doc_id",
     task's names reach the manifest, so a repeated task does no harm. The manifest, a
     row for each partition with its base from prefix sums, is written as manifest.json.
 
-    Null keys come first; null and empty texts are the end id alone; an empty table gives an empty
+    ordinary: see PieceEncoder. Null keys come first; null and empty texts are the end id alone; an empty table gives an empty
     manifest; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Spark's estimate of the input's bytes, files on disk for a table
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if not partitions else 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 1 << 16))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h", "t").drop("h")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("width", T.IntegerType())])
 
     def write(batches):
-        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer, ordinary), TaskContext.get().partitionId()
         name, at, offsets, keys = f"tokens-{part:06d}-{uuid.uuid4().hex[:12]}", 0, [np.zeros(1, "<i8")], None
         store, path = _filesystem(out)
         store.create_dir(path, recursive=True)
@@ -134,18 +141,29 @@ def read_manifest(out: str) -> list[dict]:
         return json.loads(f.read())["parts"]
 
 
-def _open(store, path: str, width: int):
-    """The ids of a file as an array: memory-mapped where the file system is local."""
+def _reader(store, path: str, width: int):
+    """A function of (first, last) for a range of a file's ids: memory-mapped where the file system is local, else read
+    by offset, so that no more than the range is held."""
     from pyarrow import fs
 
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, f"<u{width}", "r")
-    with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), f"<u{width}")
+        ids = np.memmap(path, f"<u{width}", "r")
+        return lambda first, last: ids[first:last]
+    f = store.open_input_file(path)
+
+    def read(first: int, last: int) -> np.ndarray:
+        f.seek(first * width)
+        return np.frombuffer(f.read((last - first) * width), f"<u{width}")
+
+    return read
 
 
 def read_tokens(spark: SparkSession, out: str, key_type: T.DataType | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document from the files; ids stay in the mapped files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document from the files; ids stay in the mapped files.
+
+    key_type: the type of the keys written. Repeated keys have a row each; a null key is null; files of an empty table
+    give no rows.
+    """
     schema = T.StructType([T.StructField("doc_id", key_type or T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     manifest = read_manifest(out)
     if not manifest:
@@ -156,7 +174,7 @@ def read_tokens(spark: SparkSession, out: str, key_type: T.DataType | None = Non
         store, path = _filesystem(out)
         for b in batches:
             for p in b.to_pylist():
-                ids = _open(store, f"{path}/{p['name']}.bin", p["width"])
+                ids = _reader(store, f"{path}/{p['name']}.bin", p["width"])
                 with store.open_input_file(f"{path}/{p['name']}.idx") as f:
                     offsets = np.frombuffer(f.read(), "<i8")
                 at = 0
@@ -165,7 +183,8 @@ def read_tokens(spark: SparkSession, out: str, key_type: T.DataType | None = Non
                     for k in range(keys.num_record_batches):
                         got = keys.get_batch(k).column(0)
                         edges = offsets[at : at + len(got) + 1]
-                        crc = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(edges[:-1], edges[1:], strict=True)]
+                        some = ids(int(edges[0]), int(edges[-1]))
+                        crc = [zlib.crc32(some[s:e].astype("<u4").tobytes()) for s, e in zip(edges[:-1] - edges[0], edges[1:] - edges[0], strict=True)]
                         at += len(got)
                         yield pa.RecordBatch.from_arrays([got, pa.array(p["base"] + edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], names=schema.fieldNames())
 
