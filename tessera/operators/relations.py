@@ -57,10 +57,14 @@ def top_of_each(frames: dict[str, DataFrame], column: str, order: list, n: int,
 
 
 def quick_search(frames: dict[str, DataFrame], test: Column, order: list, n: int = 5) -> DataFrame:
-    """The first n hits of each table with the table's number of hits; tables without hits are left out."""
-    found = tagged_union({k: df.where(test) for k, df in frames.items()}, "source_table")
-    w = Window.partitionBy("source_table")
-    return found.withColumns({"total_count": F.count("*").over(w), "_n": F.row_number().over(w.orderBy(*order))}).where(F.col("_n") <= n).drop("_n")
+    """The first n hits of each table with the table's number of hits; tables without hits are left out.
+
+    Hits are counted by partial sums and the first ones taken by a top-n in each partition, so no table is sorted whole.
+    """
+    hits = {k: df.where(test) for k, df in frames.items()}
+    counts = tagged_union({k: df.agg(F.count("*").alias("total_count")) for k, df in hits.items()}, "source_table")
+    first = tagged_union({k: df.orderBy(*order).limit(n) for k, df in hits.items()}, "source_table")
+    return first.join(F.broadcast(counts), "source_table")  # a row for each table
 
 
 def in_given_order(df: DataFrame, ids: list, key: str) -> DataFrame:
@@ -70,7 +74,9 @@ def in_given_order(df: DataFrame, ids: list, key: str) -> DataFrame:
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equi-join whose hot keys are spread over salts partitions; small is repeated once for each salt."""
+    """An inner or left equi-join whose hot keys are spread over salts partitions; small is repeated once for each salt."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"small's rows are repeated, so a {how} join would repeat those without a partner")
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [on, "_salt"], how).drop("_salt")

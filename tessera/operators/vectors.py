@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Measured bytes up to which a side is broadcast.
+BROADCAST_BYTES = 32 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -66,8 +69,10 @@ def similar(df: DataFrame, similarity: Column, cutoff: float | None = 0.5, order
 
 
 def nearest_queries(base: DataFrame, queries: DataFrame, key: str, vector: str, metric: str, k: int) -> DataFrame:
-    """The k nearest base rows of each row of a stated, small set of queries."""
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
+    """The k nearest base rows of each row of a stated set of queries, which is broadcast up to BROADCAST_BYTES."""
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    size = q.agg(F.coalesce(F.sum(F.size("_q") * 8 + 32), F.lit(0))).first()[0]
+    q = F.broadcast(q) if size <= BROADCAST_BYTES else q
     scored = base.join(q, F.col(key) != F.col("query_id")).select("query_id", key, METRICS[metric](F.col(vector), F.col("_q")).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -75,7 +80,7 @@ def nearest_queries(base: DataFrame, queries: DataFrame, key: str, vector: str,
 
 def tanimoto_pairs(df: DataFrame, key: str, words: str, cutoff: float) -> DataFrame:
     """Pairs at or over a cutoff, without comparing all: a pair's bit counts differ by at most the cutoff's
-    ratio, and of the rarest bits of each row (all but ceil(cutoff * bits) + ... ) one is shared."""
+    ratio, and of the bits - ceil(cutoff * bits) + 1 rarest bits of each row one is shared."""
     n = df.withColumn("_n", _bits(F.col(words), F.col(words), lambda x, y: x.bitwiseAND(y)))
     bit = F.flatten(F.transform(words, lambda w, j: F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(F.pmod(F.floor(w / F.pow(F.lit(2.0), i)), F.lit(2)) == 1, j * 32 + i)), lambda x: x.isNotNull())))
     n = n.withColumn("_bit", bit)
@@ -89,10 +94,22 @@ def tanimoto_pairs(df: DataFrame, key: str, words: str, cutoff: float) -> DataFr
     return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", tanimoto(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= cutoff)
 
 
+#: Keys in a range that clusters_of_equal numbers by itself.
+KEY_RANGE = 1 << 16
+
+
 def clusters_of_equal(df: DataFrame, key: str, value: str) -> DataFrame:
-    """A number for each group of equal values, by its first key."""
-    first = df.withColumn("_first", F.min(key).over(Window.partitionBy(value)))
-    return first.select(key, F.dense_rank().over(Window.orderBy("_first")).cast("long").alias("cluster"))
+    """A number from 1 for each group of equal values, by its first key; keys are integers.
+
+    First keys are numbered inside ranges of KEY_RANGE keys, behind the totals of the ranges before: only those totals, a row
+    for each range, meet in one task.
+    """
+    firsts = df.groupBy(value).agg(F.min(key).alias("_first")).withColumn("_range", F.floor(F.col("_first") / KEY_RANGE))
+    ranges = firsts.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = ranges.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = firsts.join(before, "_range").select(value, (F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy("_first"))).alias("cluster"))
+    named = numbered.withColumnRenamed(value, "_value")
+    return df.join(named, df[value].eqNullSafe(named["_value"])).select(df[key], F.col("cluster").cast("long").alias("cluster"))
 
 
 def fit_partitions(df: DataFrame, key: str, vector: str, cells: int, sample: int = 20_000, seed: int = 1):

@@ -180,7 +180,9 @@ def _butina(t) -> DataFrame:
     if not t.spark.sparkContext.getCheckpointDir():
         import tempfile
 
-        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())  # unset in local runs only
+        if not t.spark.sparkContext.master.startswith("local[") and t.spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        t.spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return grouping.butina(vectors.tanimoto_pairs(words, "vec_id", "words", 0.6), words, "vec_id")
 
 
@@ -227,3 +229,5 @@ def _pca(t) -> DataFrame:
 
     rows = t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("place"))
+
+from . import queries_tables  # noqa: E402, F401

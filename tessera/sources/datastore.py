@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,10 +41,35 @@ class Datastore:
         fs, path = self._fs()
         if not fs.exists(path(f"{self.root}/staging")):
             return False
-        fs.delete(path(f"{self.root}/old"), True)
-        if fs.exists(path(f"{self.root}/live")):
-            fs.rename(path(f"{self.root}/live"), path(f"{self.root}/old"))
-        return fs.rename(path(f"{self.root}/staging"), path(f"{self.root}/live"))
+        # live is missing only between two renames, and whatever was old goes last
+        gone = f"{self.root}/gone-{uuid.uuid4().hex}"
+        for source, target in (("old", gone), ("live", f"{self.root}/old")):
+            if fs.exists(path(f"{self.root}/{source}")):
+                fs.rename(path(f"{self.root}/{source}"), path(target))
+        done = fs.rename(path(f"{self.root}/staging"), path(f"{self.root}/live"))
+        fs.delete(path(gone), True)
+        return done
+
+    def chunk_files(self) -> list[str]:
+        """The files of all chunks, sorted."""
+        return sorted(self.df.inputFiles())
+
+    def chunk(self, chunk_key: int) -> DataFrame:
+        """The rows of one chunk, read from its folder alone; a missing chunk is an error."""
+        fs, path = self._fs()
+        where = f"{self.root}/live/chunk_key={chunk_key}"
+        if not fs.exists(path(where)):
+            raise FileNotFoundError(where)
+        return self.spark.read.option("basePath", f"{self.root}/live").parquet(where)
+
+    def drop_columns(self, *names: str) -> DataFrame:
+        return self.df.drop(*names)
+
+    def repartition(self, columns: list[str], out: str, values: list | None = None) -> None:
+        """All rows, or those whose first column has one of the values, written by the columns; values a run has already
+        written are replaced and others stay, so batches of values can be repeated."""
+        df = self.df if values is None else self.df.where(F.col(columns[0]).isin(values))
+        df.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(out)
 
     def _chunks_of(self, values: list) -> list[int]:
         keyed = self.spark.createDataFrame([(str(v),) for v in values], "v string").select(chunk_key(F.col("v"), self.chunks).alias("c")).distinct()
@@ -64,7 +90,7 @@ class Datastore:
         chunks = sorted({int(i) // CHUNK_SIZE for i in ids})
         part = self.df.where(F.col("chunk_key").isin(chunks))
         hit: Column = F.col("datastore_id").isin(ids)
-        shadow = f"{self.root}/shadow"
+        shadow = f"{self.root}/shadow-{uuid.uuid4().hex}"  # each writer has its own
         part.withColumns({c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).write.mode("overwrite").partitionBy("chunk_key").parquet(shadow)
         self.spark.read.parquet(shadow).repartition("chunk_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_key").parquet(f"{self.root}/live")
         fs, path = self._fs()

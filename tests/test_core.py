@@ -162,3 +162,43 @@ def test_partitioned_search_is_whole(spark):
     got = {(r.query_id, r.vec_id, r["rank"]) for r in queries.QUERIES["partitioned_search"](spark, sf).select("query_id", "vec_id", "rank").collect()}
     want = {(r.query_id, r.vec_id, r["rank"]) for r in vectors.nearest_queries(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", "l2", 10).collect()}
     assert want and len(got & want) >= 0.9 * len(want) and got == want
+
+
+def test_equal_groups_are_numbered_across_ranges(spark):
+    from tessera.operators import vectors
+
+    rows = [(5, "b"), (70_000, "a"), (70_001, "a"), (200_000, None), (3, "c"), (-1, "b"), (200_001, None)]
+    got = {r.k: r.cluster for r in vectors.clusters_of_equal(spark.createDataFrame(rows, "k long, v string"), "k", "v").collect()}
+    assert got == {-1: 1, 5: 1, 3: 2, 70_000: 3, 70_001: 3, 200_000: 4, 200_001: 4}
+
+
+def test_salted_join_keeps_left_rows_and_refuses_right(spark):
+    import pytest
+
+    from tessera.operators import relations
+
+    big = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "k int, v string")
+    small = spark.createDataFrame([(1, "s"), (3, "t")], "k int, w string")
+    assert sorted((r.k, r.v, r.w) for r in relations.salted_join(big, small, "k", 4, "left").collect()) == [(1, "x", "s"), (1, "y", "s"), (2, "z", None)]
+    with pytest.raises(ValueError):
+        relations.salted_join(big, small, "k", 4, "right")
+
+
+def test_datastore_chunks_and_promotion(spark, tmp_path):
+    import pytest
+
+    from tessera.sources.datastore import Datastore
+
+    store = Datastore(spark, f"file://{tmp_path}/store", "k", 3)
+    for round_ in (1, 2, 3):
+        store.stage(spark.createDataFrame([(f"k{i}", i * round_) for i in range(30)], "k string, v int"))
+        assert store.promote()
+    assert store.df.count() == 30 and sum(r.v for r in store.df.collect()) == 3 * sum(range(30))
+    assert not store.promote() and len(store.chunk_files()) == store.df.select("chunk_key").distinct().count()
+    some = store.df.first().chunk_key
+    assert store.chunk(some).count() == store.df.where(f"chunk_key = {some}").count()
+    with pytest.raises(FileNotFoundError):
+        store.chunk(99)
+    store.repartition(["v"], f"file://{tmp_path}/by_v", [0, 3])
+    store.repartition(["v"], f"file://{tmp_path}/by_v", [6])
+    assert sorted(r.v for r in spark.read.parquet(f"file://{tmp_path}/by_v").collect()) == [0, 3, 6]
