@@ -21,7 +21,7 @@ END_ID = 0
 PART_BYTES = 64 << 20
 #: Distinct pieces whose ids a task remembers.
 MEMO = 1_000_000
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: White space and a word up to punctuation or white space; white space and other visible characters; white space.
 _PIECE = re.compile(r"\s*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\s,.;:!?|]|\Z)|\s*\S+|\s+")
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
@@ -44,7 +44,7 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content and not (ordinary and t.special)]
-        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]))
+        self.whole = (*_ODD_SPACE, *added)
         kind = json.loads(self.tokenizer.to_str())
         pre = kind.get("pre_tokenizer") or {}
         self.by_piece = kind["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not kind.get("normalizer")
@@ -60,7 +60,7 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or self.whole.search(text):
+        if not self.by_piece or any(x in text for x in self.whole):
             return self.direct(text)
         return b"".join(map(self.__getitem__, _PIECE.findall(text)))
 
