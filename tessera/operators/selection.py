@@ -66,5 +66,5 @@ def oldest_pending(items: DataFrame, status: str, created: str, key: str, tags:
 
 def even_sample(df: DataFrame, stratum: str, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows of each stratum, by a seeded hash."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

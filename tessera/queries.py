@@ -135,7 +135,10 @@ simple("best_so_far", "SELECT event_id FROM (SELECT event_id, value, min(value)
 simple("since_best", "WITH b AS (SELECT event_type, min((value, ts)) AS m FROM events GROUP BY 1) SELECT e.event_type, count_if(e.value > m[1] + 0.001 AND e.ts >= m[2])::BIGINT AS since FROM events e JOIN b USING (event_type) GROUP BY 1", lambda t: series.since_best(t("events"), "value", "ts", ["event_type"]))
 simple("as_of_forward", "WITH f AS (SELECT user_id, min((ts, value)) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT user_id, round(m[2], 6) AS base_price FROM f WHERE m[1] < TIMESTAMP '2024-01-10' + INTERVAL 5 DAY", lambda t: series.as_of_forward(t("events"), "user_id", "ts", "value", F.lit("2024-01-10").cast("timestamp"), 5).select("user_id", F.round("base_price", 6).alias("base_price")))
 simple("as_of_join", "SELECT c.event_id, p.value AS as_of_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) p ON c.user_id = p.user_id AND c.ts >= p.ts", lambda t: series.as_of(t("events").where("event_type = 'click'"), t("events").where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value")), ["user_id"], "ts", "value").select("event_id", "as_of_value"))
-add("interpolate")(lambda t: series.interpolate(t("events").where("event_type = 'click'"), t("events").where("event_type = 'view'"), ["user_id"], "ts", "value").select("user_id", F.round("value", 6).alias("value")))
+add("interpolate", """WITH q AS (SELECT user_id, ts FROM events WHERE event_type = 'click'), v AS (SELECT user_id, ts, value::DOUBLE AS v FROM events WHERE event_type = 'view'),
+a AS (SELECT q.*, v.ts AS ta, v.v AS va FROM q ASOF LEFT JOIN v ON q.user_id = v.user_id AND q.ts >= v.ts),
+b AS (SELECT a.*, v.ts AS tb, v.v AS vb FROM a ASOF LEFT JOIN v ON a.user_id = v.user_id AND a.ts <= v.ts)
+SELECT user_id, round(coalesce(CASE WHEN ta = tb THEN va ELSE va + (epoch_us(ts) - epoch_us(ta)) / (epoch_us(tb) - epoch_us(ta)) * (vb - va) END, va, vb), 6) AS value FROM b""")(lambda t: series.interpolate(t("events").where("event_type = 'click'"), t("events").where("event_type = 'view'"), ["user_id"], "ts", "value").select("user_id", F.round("value", 6).alias("value")))
 simple("deltas", "SELECT event_id, round(value - lag(value) OVER w, 6) AS delta FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", lambda t: series.deltas(t("events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("delta", 6).alias("delta")))
 simple("window_stats", "SELECT event_type, arg_min(value, (ts, event_id)) AS start, min(value) AS low, max(value) AS high, arg_max(value, (ts, event_id)) AS latest FROM events GROUP BY 1", lambda t: series.window_stats(t("events").withColumn("at", F.struct("ts", "event_id")), "event_type", "at", "value").drop("change"))
 simple("buying_power", "SELECT event_id, round((SELECT arg_max(value, (ts, event_id)) FROM events) / value, 6) AS buying_power FROM events WHERE value > 0", lambda t: series.buying_power(t("events").where("value > 0").withColumn("at", F.struct("ts", "event_id")), "at", "value").select("event_id", F.round("buying_power", 6).alias("buying_power")))
@@ -148,7 +151,8 @@ simple("ranking", "SELECT o_orderkey, CAST(rank() OVER w AS INT) AS r, CAST(dens
 
 simple("chunk_key", "SELECT o_orderkey, CAST(('0x' || md5(CAST(o_orderkey AS VARCHAR)))::UHUGEINT % 20000 AS INT) AS chunk_key FROM orders", lambda t: t("orders").select("o_orderkey", scalars.chunk_key(F.col("o_orderkey"), 20_000).alias("chunk_key")))
 simple("chemical_system", "SELECT p_partkey, array_to_string(list_sort(string_split(replace(p_type, ' ', '-'), '-')), '-') AS system FROM part", lambda t: t("part").select("p_partkey", scalars.chemical_system(F.replace("p_type", F.lit(" "), F.lit("-"))).alias("system")))
-add("subsystems")(lambda t: t("part").select("p_partkey", scalars.subsystems(F.replace("p_type", F.lit(" "), F.lit("-"))).alias("subsystems")))
+add("subsystems", """SELECT p_partkey, list_transform(list_sort(list_transform(range(1, (2 ** len(w))::BIGINT), lambda m: struct_pack(n := bit_count(m), s := array_to_string(list_filter(w, lambda x, i: (m >> (i - 1)) & 1 = 1), '-')))), lambda x: x.s) AS subsystems
+FROM (SELECT p_partkey, list_sort(list_distinct(string_split(replace(p_type, ' ', '-'), '-'))) AS w FROM part)""")(lambda t: t("part").select("p_partkey", scalars.subsystems(F.replace("p_type", F.lit(" "), F.lit("-"))).alias("subsystems")))
 simple("accents", f"SELECT doc_id, md5(translate(text, '{scalars.ACCENTS}', '{scalars.PLAIN}')) AS plain FROM documents", lambda t: t("documents").select("doc_id", F.md5(scalars.without_accents(F.col("text"))).alias("plain")))
 simple("page_title", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages", lambda t: files.page_text(t("pages"), "html").select("page_id", "title"))
 simple("json_property", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events", lambda t: t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
@@ -189,10 +193,10 @@ def _butina(t) -> DataFrame:
 add("binary_hull")(lambda t: grouping.binary_hull(t("lineitem").select((F.col("l_partkey") % 50).alias("system"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry"), F.round(F.col("l_discount") * 10, 1).alias("share"), (-F.col("l_quantity")).alias("energy")), "system", "entry", "share", "energy"))
 
 
-@add("partitioned_search")
+@add("partitioned_search", "SELECT query_id, vec_id, round(d, 4) AS distance, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, b.vec_id, list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings b JOIN embeddings q ON b.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 10")
 def _cells(t) -> DataFrame:
     model = vectors.fit_partitions(t("embeddings"), "vec_id", "embedding", 8)
-    return vectors.search_cells_exactly(vectors.assign_cells(t("embeddings"), model, "embedding"), t("embeddings").where("vec_id % 50 = 0"), model, "embedding", "vec_id", 10, 3)
+    return vectors.search_cells_exactly(vectors.assign_cells(t("embeddings"), model, "embedding"), t("embeddings").where("vec_id % 50 = 0"), model, "embedding", "vec_id", 10, 3).withColumn("distance", F.round("distance", 4))
 
 # selections and derived columns
 
@@ -219,7 +223,7 @@ simple("conversation_turns", "SELECT conv_id, list(role ORDER BY turn, role) AS
 simple("map_prefix_sums", "SELECT user_id, round(sum(value) FILTER (event_type LIKE 'c%' OR event_type LIKE 'p%'), 4) AS total FROM events WHERE event_type LIKE 'c%' OR event_type LIKE 'p%' GROUP BY 1", lambda t: t("events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m")).select("user_id", F.map_filter("m", lambda k, v: k.startswith("c") | k.startswith("p")).alias("m")).where(F.size("m") > 0).select("user_id", F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x), 4).alias("total")))
 add("truncated_selection")(lambda t: selection.truncated(t("orders"), ["o_totalprice", "o_orderkey"], 100).select("draw", "o_orderkey"))
 add("tournament_selection")(lambda t: selection.tournament(t("supplier"), "s_acctbal", "s_suppkey", 20))
-add("even_sample")(lambda t: selection.even_sample(t("part"), "p_brand", 5, "p_partkey").select("p_partkey", "p_brand"))
+add("even_sample", "SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('0:' || p_partkey), p_partkey) AS n FROM part) WHERE n <= 5")(lambda t: selection.even_sample(t("part"), "p_brand", 5, "p_partkey").select("p_partkey", "p_brand"))
 
 
 @add("principal_axes")
