@@ -52,6 +52,28 @@ def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lost.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first user and assistant text of each conversation, written as JSON records of five layouts with further keys,
+    and read back by the fingerprints of their paths."""
+    table = _table(spark, sf_dir, "conversations").where("role IN ('user', 'assistant')")
+    first = lambda role: F.min(F.when(F.col("role") == role, F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    both = table.groupBy("conv_id").agg(first("user").alias("u"), first("assistant").alias("a")).where("u IS NOT NULL AND a IS NOT NULL")
+    u, a, lit = F.col("u.text"), F.col("a.text"), F.lit
+    turn = lambda r, role, t, text: F.struct(lit(role).alias(r), text.alias(t), lit("x").alias("name"))
+    records = [
+        F.struct(F.array(turn("role", "user", "content", u), turn("role", "assistant", "content", a)).alias("messages"), lit(1).alias("id")),
+        F.struct(F.array(turn("from", "human", "value", u), turn("from", "gpt", "value", a)).alias("conversations"), lit("s").alias("origin")),
+        F.struct(u.alias("prompt"), a.alias("completion"), lit("s").alias("split")),
+        F.struct(u.alias("instruction"), lit("").alias("input"), a.alias("output"), F.struct(lit(1).alias("k")).alias("meta")),
+        F.struct(u.alias("prompt"), a.alias("response")),
+    ]
+    record = F.to_json(records[-1])
+    for k, r in enumerate(records[:-1]):
+        record = F.when(F.pmod("conv_id", lit(len(records))) == k, F.to_json(r)).otherwise(record)
+    turns = chat.turns_from_json(both.select("conv_id", record.alias("record")))
+    return turns.select("conv_id", "turn", "role", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))
+
+
 def op7_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -84,6 +106,7 @@ QUERIES = {
     "op4_shard_interleaved": op4_shard_interleaved,
     "op5_find_pii": op5_find_pii,
     "op6_format_chats": op6_format_chats,
+    "chat_records": chat_records,
     "op7_remove_repeats": op7_remove_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
@@ -146,6 +169,10 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(piece)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "chat_records": """
+WITH t AS (SELECT conv_id, role, arg_min(coalesce(text, ''), struct_pack(t := turn, x := coalesce(text, ''))) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id, role)
+SELECT conv_id, CASE role WHEN 'user' THEN 0 ELSE 1 END::BIGINT AS turn, role, sha256(text) AS text_sha256, length(text)::BIGINT AS chars FROM t
+WHERE conv_id IN (SELECT conv_id FROM t GROUP BY conv_id HAVING count(*) = 2)""",
     "op7_remove_repeats": f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 win AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, {2 * suffix.LENGTH})) AS h FROM (SELECT doc_id, x, unnest(range(0, n - {suffix.LENGTH} + 1)) AS i FROM d WHERE n >= {suffix.LENGTH})),
