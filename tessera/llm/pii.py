@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .common import arrow_columns
 
 #: The kinds in their listed order; the first four are the base.
-KINDS = ("email", "ip", "card", "phone", "url_login", "iban", "account", "secret")
+KINDS = ("email", "ip", "card", "phone", "card_part", "phone_part", "url_login", "iban", "account", "secret")
 BASE = KINDS[:4]
 #: Words that announce an account number.
 ACCOUNT_CUES = ("account", "acct", "konto", "kontonummer", "compte", "cuenta", "customer id", "ssn")
@@ -25,6 +25,9 @@ _NUMBER = frozenset("0123456789 ().+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: What a card looks like inside a longer run of numbers, and a phone number before further digits.
+_CARD_PART = re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])")
+_PHONE_PART = re.compile(r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){2,4}?(?![0-9])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(:[0-9]+)?")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -84,9 +87,13 @@ def find_spans(text: str, cues) -> list[tuple[str, int, int]]:
             for m in _CARD.finditer(text, start, number_end):
                 if 16 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
                     found["card"].append(m.span())
+                else:
+                    found["card_part"] += [p.span() for p in _CARD_PART.finditer(text, *m.span()) if luhn(_NOT_DIGIT.sub("", p[0]))]
             for m in _PHONE.finditer(text, start, number_end):
                 if 8 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
                     found["phone"].append(m.span())
+                else:
+                    found["phone_part"] += [p.span() for p in _PHONE_PART.finditer(text, *m.span()) if 8 <= len(_NOT_DIGIT.sub("", p[0])) <= 15]
         elif what == "email":
             start = last
             while start > mail_end and _LOCAL.match(text[start - 1]):
@@ -117,8 +124,9 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with pii, an array of (kind, start, end) in code points, end exclusive; no shuffle.
 
     Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches of their patterns
-    that pass the check of the kind; url_login, iban, account and secret are added by their cues and
-    never change base spans. Null and empty texts have no spans; repeated rows each get theirs; an
+    that pass the check of the kind; url_login, iban, account and secret are added by their cues,
+    card_part and phone_part where a failed base match holds a number of the usual form, as numbers
+    that stand side by side match as one. They never change base spans. Null and empty texts have no spans; repeated rows each get theirs; an
     input column named pii is replaced.
     """
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

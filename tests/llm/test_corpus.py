@@ -393,3 +393,16 @@ def test_mix_takes_what_the_tree_deals(spark, docs, monkeypatch):
     shards = [r.copies for r in mixing.mix(sized, shards=5).collect()]
     monkeypatch.setattr(mixing, "split_quotas", split)
     assert all(c.shard < 5 for x in shards for c in x)
+
+
+def test_pii_numbers_side_by_side():
+    cues = pii.automaton()
+    for t, want in [
+        ("x 7536784127813050 4845168114407329 y", [("card_part", 2, 18), ("card_part", 19, 35)]),
+        ("2353820953013749 4550997810720808", [("card_part", 17, 33)]),
+        ("12 4550-9978-1072-0808", [("card_part", 3, 22)]),
+        ("+1 (826) 555-4081 190.137.223.20", [("ip", 18, 32), ("phone_part", 0, 17)]),
+        ("9807915762804490", []),
+        ("+12 1234567890123456789", []),
+    ]:
+        assert pii.find_spans(t, cues) == want, t
