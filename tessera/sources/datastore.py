@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,6 +72,25 @@ class Datastore:
         df = self.df if values is None else self.df.where(F.col(columns[0]).isin(values))
         df.repartition(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(out)
 
+    def process(self, make: Callable[[DataFrame], DataFrame], out: str, batch: int = 100) -> int:
+        """make() over the chunks that out has not yet, in batches of chunks; returns how many were done. A repeated run
+        goes on after the last whole batch. make() keeps chunk_key."""
+        fs, path = self._fs()
+        keys = lambda root: {f.getPath().getName().split("=")[1] for f in fs.listStatus(path(root)) if "=" in f.getPath().getName()} if fs.exists(path(root)) else set()
+        left = sorted(map(int, keys(f"{self.root}/live") - keys(f"{out}/done")))
+        for at in range(0, len(left), batch):
+            some = left[at : at + batch]
+            made = make(self.df.where(F.col("chunk_key").isin(some)))
+            made.repartition("chunk_key").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_key").parquet(f"{out}/rows")
+            # a chunk counts as done only when its batch is written, with or without rows
+            for k in some:
+                fs.mkdirs(path(f"{out}/done/chunk_key={k}"))
+        return len(left)
+
+    def sampled(self, n: int = 1000, seed: int = 0) -> DataFrame:
+        """n random rows, the same ones for the same seed."""
+        return self.df.orderBy(F.md5(F.concat(F.col("datastore_id").cast("string"), F.lit(f":{seed}"))), "datastore_id").limit(n)
+
     def _chunks_of(self, values: list) -> list[int]:
         keyed = self.spark.createDataFrame([(str(v),) for v in values], "v string").select(chunk_key(F.col("v"), self.chunks).alias("c")).distinct()
         return [r.c for r in keyed.collect()]

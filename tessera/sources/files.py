@@ -51,9 +51,34 @@ def read_jdbc(spark: SparkSession, url: str, query: str, fetch: int = 1000, **op
 
 
 def upload_rows(df: DataFrame, column: str) -> DataFrame:
-    """Lines of base64-encoded CSV uploads (data:...;base64,...), the header left out."""
+    """Rows of base64-encoded CSV uploads (data:...;base64,...) as delimited text, the header left out; a line end inside
+    quotes is part of its row."""
     body = F.decode(F.unbase64(F.regexp_replace(column, "^[^,]*,", "")), "utf-8")
-    return df.select(F.explode(F.slice(F.split(body, "\r?\n"), 2, 1_000_000_000)).alias("line")).where("line <> ''")
+    rows = F.regexp_extract_all(body, F.lit(r'(?:[^"\r\n]++|"[^"]*+")++'), F.lit(0))
+    return df.select(F.explode(F.slice(rows, 2, 1_000_000_000)).alias("line"))
+
+
+def read_zipped_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of the CSV files in zip archives, columns by name; a task reads an archive, member by member and batch by batch."""
+    def rows(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import csv
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(schema)
+        options = csv.ConvertOptions(column_types=want, include_columns=want.names, include_missing_columns=True, strings_can_be_null=True, quoted_strings_can_be_null=False)
+        for b in batches:
+            for body in b.column(0):
+                with zipfile.ZipFile(io.BytesIO(body.as_py())) as z:
+                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
+                        with z.open(name) as f:
+                            for found in csv.open_csv(f, parse_options=csv.ParseOptions(newlines_in_values=True), convert_options=options):
+                                yield pa.RecordBatch.from_arrays(found.columns, schema=want)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, schema)
 
 
 def page_text(df: DataFrame, html: str) -> DataFrame:
