@@ -45,26 +45,35 @@ def butina(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return done.select(F.col("x").alias(key), "cluster") if done is not None else nodes.select(key, F.col(key).alias("cluster")).limit(0)
 
 
-def binary_hull(df: DataFrame, system: str, key: str, share: str, energy: str) -> DataFrame:
-    """Energy above the lower hull of each two-part system: entries lie at a share in [0, 1] of the second part.
+def _lower_hull(points: pd.DataFrame) -> pd.DataFrame:
+    """The corners of the lower hull of points (system, x, y), one for each x."""
+    hull: list[tuple[float, float]] = []
+    points = points.sort_values("x")
+    for x, y in zip(points["x"], points["y"], strict=True):
+        while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (x - hull[-2][0]) >= (y - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
+            hull.pop()
+        hull.append((x, y))
+    return pd.DataFrame(hull, columns=["x", "y"]).assign(system=points["system"].iloc[0])
 
-    Systems without an entry at both ends are left out. formation is against the best entries at both ends.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[share, energy])
-        if not ((pdf[share] == 0).any() and (pdf[share] == 1).any()):
-            return pdf[[system, key]].iloc[:0].assign(e_above_hull=0.0, is_stable=True, formation=0.0)
-        best = pdf.groupby(share)[energy].min().sort_index()
-        hull: list[tuple[float, float]] = []
-        for x, y in best.items():
-            while len(hull) > 1 and (hull[-1][1] - hull[-2][1]) * (x - hull[-2][0]) >= (y - hull[-2][1]) * (hull[-1][0] - hull[-2][0]):
-                hull.pop()
-            hull.append((x, y))
-        xs, ys = map(np.array, zip(*hull, strict=True))
-        above = pdf[energy].to_numpy() - np.interp(pdf[share], xs, ys)
-        above[np.abs(above) < 1e-12] = 0.0
-        return pd.DataFrame({system: pdf[system].tolist(), key: pdf[key].tolist(), "e_above_hull": above, "is_stable": above == 0, "formation": pdf[energy].to_numpy() - best.iloc[0] * (1 - pdf[share].to_numpy()) - best.iloc[-1] * pdf[share].to_numpy()})
+def binary_hull(df: DataFrame, system: str, key: str, share: str, energy: str, slices: int = 64) -> DataFrame:
+    """Energy above the lower hull of each two-part system: entries lie at a share in [0, 1] of the second part.
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(system, key, share, energy).groupBy(system).applyInPandas(run, f"{system} {types[system]}, {key} {types[key]}, e_above_hull double, is_stable boolean, formation double")
+    The least energy at each share is taken first; hulls of slices of a system's shares are found apart and the hull of
+    their corners is the system's, so no task holds a whole system. Systems without an entry at both ends are left out, as
+    are entries without share or energy. formation is against the best entries at both ends.
+    """
+    rows = df.select(system, key, F.col(share).cast("double").alias("_x"), F.col(energy).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    least = rows.groupBy(F.col(system).alias("system"), F.col("_x").alias("x")).agg(F.min("_y").alias("y"))
+    shape = "system {}, x double, y double".format(dict(least.dtypes)["system"])
+    order = ["system", "x", "y"]
+    corners = least.groupBy("system", F.pmod(F.xxhash64("x"), F.lit(slices))).applyInPandas(lambda pdf: _lower_hull(pdf)[order], shape)
+    corners = corners.groupBy("system").applyInPandas(lambda pdf: _lower_hull(pdf)[order], shape)
+    hulls = corners.groupBy("system").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("_h")).where((F.col("_h")[0]["x"] == 0) & (F.element_at("_h", -1)["x"] == 1))
+    both = rows.join(hulls, rows[system].eqNullSafe(hulls["system"])).drop("system") if system != "system" else rows.join(hulls, "system")
+    # the corner at or before an entry's share, and the next one
+    at = F.greatest(F.lit(1), F.least(F.size("_h") - 1, F.size(F.filter("_h", lambda p: p["x"] <= F.col("_x")))))
+    both = both.withColumns({"_p": F.element_at("_h", at), "_q": F.element_at("_h", at + 1), "_l": F.element_at("_h", -1)})
+    above = F.col("_y") - F.col("_p.y") - (F.col("_q.y") - F.col("_p.y")) * (F.col("_x") - F.col("_p.x")) / (F.col("_q.x") - F.col("_p.x"))
+    both = both.withColumn("_a", F.when(F.abs(above) < 1e-12, 0.0).otherwise(above))
+    return both.select(system, key, F.col("_a").alias("e_above_hull"), (F.col("_a") == 0).alias("is_stable"), (F.col("_y") - F.col("_h")[0]["y"] * (1 - F.col("_x")) - F.col("_l.y") * F.col("_x")).alias("formation"))

@@ -35,20 +35,29 @@ def apply_filter(df: DataFrame, test: Column, mode: str = "rows", inverse: bool
     return kept.select(index) if mode == "index" else kept
 
 
+def _drawn(digest: Column) -> Column:
+    """The first 32 bits of a digest as a number."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def truncated(df: DataFrame, order: list, n: int, share: float = 0.05, least: int = 5, most: int = 50, seed: int = 0) -> DataFrame:
     """n parents drawn with replacement from the best share of rows, least to most of them."""
     best = max(least, min(most, int(n * share)))
     pool = df.orderBy(*order).limit(best).withColumn("_place", F.row_number().over(Window.orderBy(*order)) - 1)
     size = pool.count()
-    draws = df.sparkSession.range(n).select("id", F.floor(F.rand(seed) * size).cast("int").alias("_place"))
+    draws = df.sparkSession.range(n).select("id", F.pmod(_drawn(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))), F.lit(max(1, size))).cast("int").alias("_place"))
     return draws.join(F.broadcast(pool), "_place").drop("_place").withColumnRenamed("id", "draw")  # at most `most` rows
 
 
-def tournament(df: DataFrame, value: str, key: str, n: int, share: float = 0.2, seed: int = 0) -> DataFrame:
-    """n times the best of a seeded sample of rows: a row enters round r if its hash with r falls under the share."""
+def tournament(df: DataFrame, value: str, key: str, n: int, share: float = 0.2, seed: int = 0, least: int = 3) -> DataFrame:
+    """n times the best of a seeded sample of rows: a row enters round r if its hash with r falls under the share; the
+    rows of the least hashes enter too, so that a round has at least so many."""
     rounds = df.select(key, value, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    enters = rounds.where(F.pmod(F.xxhash64(F.lit(seed), "draw", key), F.lit(10_000)) < int(share * 10_000))
-    return enters.groupBy("draw").agg(F.min(F.struct(value, key)).alias("b")).select("draw", f"b.{key}", f"b.{value}")
+    rounds = rounds.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"), F.lit(":"), F.col(key).cast("string"))))
+    enters = rounds.where(F.pmod(_drawn(F.col("_h")), F.lit(10_000)) < int(share * 10_000))
+    # Spark keeps the least rows of each partition before it shuffles
+    first = rounds.withColumn("_n", F.row_number().over(Window.partitionBy("draw").orderBy("_h", key))).where(F.col("_n") <= least).drop("_n")
+    return enters.unionByName(first).groupBy("draw").agg(F.min(F.struct(value, key)).alias("b")).select("draw", f"b.{key}", f"b.{value}")
 
 
 def stop_condition(df: DataFrame, value: str, finished: str, most: int, survival: int, least: int, exact: Column, margin: float = 0.001) -> DataFrame:

@@ -190,7 +190,11 @@ def _butina(t) -> DataFrame:
     return grouping.butina(vectors.tanimoto_pairs(words, "vec_id", "words", 0.6), words, "vec_id")
 
 
-add("binary_hull")(lambda t: grouping.binary_hull(t("lineitem").select((F.col("l_partkey") % 50).alias("system"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry"), F.round(F.col("l_discount") * 10, 1).alias("share"), (-F.col("l_quantity")).alias("energy")), "system", "entry", "share", "energy"))
+_HULL = """WITH e AS (SELECT l_partkey % 50 AS system, l_orderkey * 10 + l_linenumber AS entry, round(l_discount::DOUBLE * 10, 1) AS x, -l_quantity::DOUBLE AS y FROM lineitem),
+b AS (SELECT system, x, min(y) AS y FROM e GROUP BY 1, 2), ends AS (SELECT p.system, p.y AS y0, q.y AS y1 FROM b p JOIN b q ON p.system = q.system AND p.x = 0 AND q.x = 1),
+h AS (SELECT o.system, o.x, least(min(o.y), min(CASE WHEN q.x > p.x THEN p.y + (q.y - p.y) * (o.x - p.x) / (q.x - p.x) END)) AS hull FROM b o JOIN b p ON p.system = o.system AND p.x <= o.x JOIN b q ON q.system = o.system AND q.x >= o.x GROUP BY 1, 2)
+SELECT system, entry, round(y - hull, 6) + 0.0 AS e_above_hull, y - hull < 1e-9 AS is_stable, round(y - y0 * (1 - x) - y1 * x, 6) + 0.0 AS formation FROM e JOIN h USING (system, x) JOIN ends USING (system)"""
+add("binary_hull", _HULL)(lambda t: grouping.binary_hull(t("lineitem").select((F.col("l_partkey") % 50).alias("system"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("entry"), F.round(F.col("l_discount") * 10, 1).alias("share"), (-F.col("l_quantity")).alias("energy")), "system", "entry", "share", "energy").withColumns({"e_above_hull": F.round("e_above_hull", 6) + 0.0, "formation": F.round("formation", 6) + 0.0}))
 
 
 @add("partitioned_search", "SELECT query_id, vec_id, round(d, 4) AS distance, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, b.vec_id, list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings b JOIN embeddings q ON b.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)) WHERE rank <= 10")
@@ -221,8 +225,9 @@ simple("stop_condition", "WITH b AS (SELECT min((value, ts)) AS m FROM events) S
 simple("distance_from_known", f"SELECT label, arg_min(vec_id, (round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 4), vec_id)) AS nearest FROM embeddings, (SELECT {QUERY_VECTOR} AS q) GROUP BY 1", lambda t: _with_query(t).withColumn("d", F.round(vectors.METRICS["l2"](F.col("embedding"), F.col("q")), 4)).groupBy("label").agg(F.min_by("vec_id", F.struct("d", "vec_id")).alias("nearest")))
 simple("conversation_turns", "SELECT conv_id, list(role ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY 1", lambda t: t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("roles"), F.count("*").alias("n")))
 simple("map_prefix_sums", "SELECT user_id, round(sum(value) FILTER (event_type LIKE 'c%' OR event_type LIKE 'p%'), 4) AS total FROM events WHERE event_type LIKE 'c%' OR event_type LIKE 'p%' GROUP BY 1", lambda t: t("events").groupBy("user_id", "event_type").agg(F.sum("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m")).select("user_id", F.map_filter("m", lambda k, v: k.startswith("c") | k.startswith("p")).alias("m")).where(F.size("m") > 0).select("user_id", F.round(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + x), 4).alias("total")))
-add("truncated_selection")(lambda t: selection.truncated(t("orders"), ["o_totalprice", "o_orderkey"], 100).select("draw", "o_orderkey"))
-add("tournament_selection")(lambda t: selection.tournament(t("supplier"), "s_acctbal", "s_suppkey", 20))
+add("truncated_selection", "SELECT d.id AS draw, o_orderkey FROM (SELECT id, ('0x' || substr(md5('0:' || id), 1, 8))::BIGINT % 5 AS place FROM range(100) r(id)) d JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS place FROM orders) o USING (place)")(lambda t: selection.truncated(t("orders"), ["o_totalprice", "o_orderkey"], 100).select("draw", "o_orderkey"))
+add("tournament_selection", """WITH r AS (SELECT s_suppkey, s_acctbal, d::INT AS draw, md5('0:' || d || ':' || s_suppkey) AS h FROM supplier, range(20) r(d)), n AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY h, s_suppkey) AS n FROM r),
+b AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY s_acctbal, s_suppkey) AS best FROM n WHERE n <= 3 OR ('0x' || substr(h, 1, 8))::BIGINT % 10000 < 2000) SELECT draw, s_suppkey, s_acctbal FROM b WHERE best = 1""")(lambda t: selection.tournament(t("supplier"), "s_acctbal", "s_suppkey", 20))
 add("even_sample", "SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('0:' || p_partkey), p_partkey) AS n FROM part) WHERE n <= 5")(lambda t: selection.even_sample(t("part"), "p_brand", 5, "p_partkey").select("p_partkey", "p_brand"))
 
 
