@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, lines, minhash, mixing, pii, quality, sharding, suffix, tokens
+from . import chat, common, decontaminate, lines, minhash, mixing, nearest, pii, quality, runs, sharding, suffix, tokens, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,28 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, out)
 
 
+def op11_find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    words, h = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumns({"_h": h, "_g": F.floor(h / 10), "_w": F.when(h % 10 == 0, words)}).withColumn("_n", F.size("_w"))
+    times = 3 + F.col("_g") % 8
+    start = (F.col("_g") % F.col("_n")).cast("int")
+    period = (1 + F.floor((F.col("_n") - start) / times)).cast("int")
+    planted = F.when(F.col("_n") > 0, runs.replayed(F.col("_w"), start, period, times.cast("int"))).otherwise(F.col("text"))
+    found = runs.find_runs(docs.select("doc_id", planted.alias("text")))
+    best, line = F.col("strongest_run"), lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -111,6 +133,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
+    "op11_find_runs": op11_find_runs,
+    "op12_nearest_vectors": op12_nearest_vectors,
+    "op13_whiten_embeddings": op13_whiten_embeddings,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -203,4 +228,23 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
 b AS (SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > 5 * word_chars)::INT
   + 8 * (n_lines >= 5 AND 100 * n_dup_lines > 70 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT + 32 * (word_chars > 40 * n_words)::INT AS rule_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (rule_bits & 3) <> 0 AS base_failed, (rule_bits & 15) = 0 AS kept, rule_bits::INT AS rule_bits FROM b""",
+    "op11_find_runs": rf"""
+WITH c AS (SELECT doc_id, coalesce(text, '') AS text, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+w AS (SELECT doc_id, xor(crc, 4294967295) AS h, xor(crc, 4294967295) // 10 AS g, regexp_extract_all(text, '{_WORD}') AS w FROM c),
+a AS (SELECT *, g % len(w) AS a, 1 + (len(w) - g % len(w)) // (3 + g % 8) AS p FROM w),
+d AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END]) ELSE w END AS w FROM a),
+k AS (SELECT doc_id, i, len(w) AS n, array_to_string(w[i + 1:i + 5], ' ') AS k FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) > 4)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.k = y.k AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, max(i) + 5 + q - min(i) AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY 1, 2, 3),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), struct_pack(e := -length / period, s := start, p := period)) AS b,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed, list(struct_pack(lo := start + period, hi := start + length)) AS spans FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.l::BIGINT AS length, b.p::BIGINT AS period, floor(1000 * b.l / b.p)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN spans IS NULL THEN w ELSE list_filter(w, lambda x, i: len(list_filter(spans, lambda z: i > z.lo AND i <= z.hi)) = 0) END, ' ')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id)""",
+    "op12_nearest_vectors": """
+WITH v AS (SELECT vec_id, max(embedding) AS e FROM embeddings WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.e, b.e), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM v q JOIN v b ON q.vec_id <> b.vec_id AND len(q.e) = len(b.e) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 20""",
 }

@@ -27,7 +27,7 @@ def plain(v):
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF), con.sql(queries.SQL[name])
     names = sorted(df.columns)
