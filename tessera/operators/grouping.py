@@ -1,29 +1,12 @@
-"""Greedy grouping and stability: kept rows in order, leader clusters, lower hulls."""
+"""Grouping and stability: leader clusters and lower hulls."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def greedy_unique(df: DataFrame, key: str, block: str, vector: str, tolerance: float) -> DataFrame:
-    """Rows kept in order of key within a block: those not within a tolerance of a row kept before."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, at = np.empty((0, 0)), []
-        for k, v in zip(pdf[key], pdf[vector], strict=True):
-            v = np.asarray(v, float)
-            if not len(at) or not (np.sqrt(((kept - v) ** 2).sum(axis=1)) < tolerance).any():
-                kept = np.vstack([kept, v]) if len(at) else v[None]
-                at.append(k)
-        return pd.DataFrame({block: [pdf[block].iloc[0]] * len(at), key: at})
-
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return df.select(key, block, vector).orderBy(key).groupBy(block).applyInPandas(lambda p: run(p.sort_values(key)), f"{block} {types[block]}, {key} {types[key]}")
-
-
 def butina(pairs: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Leader clusters of a neighbour graph: the row with most neighbours (of equals the one with the larger key)
     and its free neighbours are a cluster, again and again. Rounds take all rows that beat every free neighbour and every

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import grouping, relations, reports, series, vectors
+from .operators import grouping, nearby, relations, reports, series, vectors
 from .plans import query as plans
 from .plans.query import Query
 from .plans.schema import Bridge, Catalog, ForeignKey, TableSpec
@@ -175,7 +175,10 @@ simple("top_k", f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], q::DOU
 simple("similarity_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({TANIMOTO.format(a='x.embedding', b='y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {TANIMOTO.format(a='x.embedding', b='y.embedding')} >= 0.6", lambda t: vectors.tanimoto_pairs(t("embeddings").select("vec_id", vectors.to_words(F.col("embedding")).alias("words")), "vec_id", "words", 0.6).withColumn("similarity", F.round("similarity", 6)))
 simple("nearest_queries", "SELECT * FROM (SELECT q.vec_id AS query_id, b.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), b.vec_id) AS INT) AS rank FROM embeddings b JOIN embeddings q ON b.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5", lambda t: vectors.nearest_queries(t("embeddings"), t("embeddings").where("vec_id % 50 = 0"), "vec_id", "embedding", "l2", 5).select("query_id", "vec_id", "rank"))
 simple("equal_groups", "SELECT p_partkey, dense_rank() OVER (ORDER BY f)::BIGINT AS cluster FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand) AS f FROM part)", lambda t: vectors.clusters_of_equal(t("part"), "p_partkey", "p_brand"))
-add("greedy_unique")(lambda t: grouping.greedy_unique(t("embeddings"), "vec_id", "label", "embedding", 1.0))
+add("greedy_unique", """WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+r AS (SELECT label, vec_id, n, [v] AS kept, TRUE AS is_kept FROM e WHERE n = 1 UNION ALL
+  SELECT label, vec_id, n, CASE WHEN far THEN list_append(kept, v) ELSE kept END, far FROM (SELECT e.label, e.vec_id, e.n, e.v, r.kept, len(list_filter(r.kept, lambda k: list_distance(k, e.v) < 1.0)) = 0 AS far FROM r JOIN e ON e.label = r.label AND e.n = r.n + 1))
+SELECT label, vec_id FROM r WHERE is_kept""")(lambda t: nearby.greedy_unique(t("embeddings"), "vec_id", "label", "embedding", 1.0))
 
 
 @add("butina")
@@ -239,4 +242,4 @@ def _pca(t) -> DataFrame:
     rows = t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("place"))
 
-from . import queries_tables, queries_values  # noqa: E402, F401
+from . import queries_stores, queries_tables, queries_values  # noqa: E402, F401

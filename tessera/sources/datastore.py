@@ -16,8 +16,27 @@ from ..plans.query import frame_filter
 class Datastore:
     """A folder of Parquet chunks under live/, with staging/ and old/ beside it; chunk_key is the partition column."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str, chunks: int):
+    def __init__(self, spark: SparkSession, root: str, key: str, chunks: int, indexes: tuple = ()):
         self.spark, self.root, self.key, self.chunks = spark, root.rstrip("/"), key, chunks
+        self.indexes = {spec.name: spec for spec in indexes}
+
+    def index(self, name: str):
+        """The vector index of a registered specification."""
+        from .vector_index import VectorIndex
+
+        return VectorIndex(self, self.indexes[name])
+
+    def filter_similar(self, index: str, like: DataFrame, count: int = 50, limit: int | None = None, **lookups: Any) -> DataFrame:
+        """Rows among the count nearest to like (one row with the index's vector column) that pass the lookups, with distance,
+        nearest first. Only the chunks of those ids are read; limit bounds what is left after the lookups."""
+        ix = self.index(index)
+        asked = like.select(F.lit(-1).cast("long").alias("_id"), ix.spec.vector)
+        near = ix.search(asked, count, "_id").select("datastore_id", "distance").collect()  # count rows
+        if not near:
+            return self.df.withColumn("distance", F.lit(None).cast("double")).limit(0)
+        found = self.spark.createDataFrame([tuple(r) for r in near], "datastore_id long, distance double")
+        rows = self.df.where(F.col("chunk_key").isin(sorted({r.datastore_id // CHUNK_SIZE for r in near})))
+        return frame_filter(rows.join(F.broadcast(found), "datastore_id"), None, **lookups).orderBy("distance", "datastore_id").limit(limit or count)
 
     @property
     def df(self) -> DataFrame:
@@ -118,6 +137,3 @@ class Datastore:
 
     def rename(self, **names: str) -> DataFrame:
         return self.df.withColumnsRenamed(names)
-
-    def sample(self, n: int = 1000) -> DataFrame:
-        return self.df.orderBy("datastore_id").limit(n)
