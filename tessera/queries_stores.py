@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import nearby
+from .operators import hulls, nearby
 from .queries import add
 from .sources.datastore import Datastore
 from .sources.scratch import new_path
@@ -72,3 +72,54 @@ def _compound(t) -> DataFrame:
     store.index(spec.name).build()
     found = store.filter_similar(spec.name, t("embeddings").where("vec_id = 0"), 40, label__in=[1, 2, 3, 4])
     return found.select("vec_id", F.round("distance", 4).alias("distance"))
+
+
+def _det(rows: list[list[str]]) -> str:
+    """SQL of a determinant by its first row."""
+    if len(rows) == 1:
+        return rows[0][0]
+    terms = [f"{'-' if j % 2 else '+'} {x} * ({_det([r[:j] + r[j + 1 :] for r in rows[1:]])})" for j, x in enumerate(rows[0])]
+    return " ".join(terms).removeprefix("+ ")
+
+
+_AMOUNTS = {3: ["l_linenumber % 3", "l_quantity::BIGINT % 3", "l_suppkey % 3"], 4: ["l_linenumber % 2", "l_quantity::BIGINT % 2", "l_suppkey % 2", "l_orderkey % 2"]}
+
+
+def _hull_sql(k: int) -> str:
+    """Every simplex of k compositions that holds a target is solved by determinants; the cheapest one counts."""
+    n = range(k)
+    each = lambda f, by=", ": by.join(f.format(i) for i in n)
+    corner = [[f"p{i}_{j}" for j in n] for i in n]
+    share = lambda i: _det([[f"x{j}" for j in n] if m == i else corner[m] for m in n])
+    whole, xs = each("a{}", " + "), each("x{}")
+    picked = ", ".join(f"{', '.join(f'p{i}.x{j} AS p{i}_{j}' for j in n)}, p{i}.e AS e_{i}, p{i}.key AS k_{i}" for i in n)
+    joined = "b p0" + "".join(f" JOIN b p{i} ON p{i}.s = p0.s AND p{i}.id > p{i - 1}.id" for i in n if i)
+    return f"""
+WITH r AS (SELECT l_partkey % 10 AS s, l_orderkey * 10 + l_linenumber AS key, l_extendedprice::DOUBLE AS price, {", ".join(f"{x} AS a{i}" for i, x in enumerate(_AMOUNTS[k]))} FROM lineitem),
+w AS (SELECT s, key, -price / 7071.0678 * (1 + a0 * a1 + 2 * a0 * a{k - 1} + a1 * a{k - 1}) / ({whole}) AS e, {each(f"round(a{{}} / ({whole})::DOUBLE, 12) AS x{{}}".replace("{}", "{0}"))} FROM r WHERE {whole} > 0),
+b AS (SELECT *, row_number() OVER (ORDER BY s, {xs}) AS id FROM (SELECT s, {xs}, min(e) AS e, arg_min(key, struct_pack(e := e, k := key)) AS key FROM w GROUP BY s, {xs})),
+ends AS (SELECT s, {each("min(e) FILTER (x{0} = 1) AS pure{0}")} FROM b GROUP BY s),
+sim AS (SELECT *, {_det(corner)} AS d FROM (SELECT p0.s, {picked} FROM {joined})),
+lam AS (SELECT t.id, sim.*, {", ".join(f"({share(i)}) / d AS l{i}" for i in n)} FROM b t JOIN sim ON sim.s = t.s WHERE abs(d) > 1e-12),
+cheap AS (SELECT id, arg_min(struct_pack(h := h, m := m), h) AS z FROM (SELECT *, {each("l{0} * e_{0}", " + ")} AS h, [{each("struct_pack(k := k_{0}, a := l{0})")}] AS m FROM lam WHERE least({each("l{}")}) >= -1e-12) GROUP BY id)
+SELECT w.key, round(greatest(w.e - z.h, 0), 6) AS e_above_hull, w.e - z.h < 1e-9 AS is_stable, round(w.e - ({each("x{0} * pure{0}", " + ")}), 6) + 0.0 AS formation,
+  CASE WHEN w.e - z.h < 1e-9 THEN '' ELSE array_to_string(list_transform(list_sort(list_filter(z.m, lambda q: q.a > 1e-9)), lambda q: q.k || ':' || round(1000 * q.a)::BIGINT), ' ') END AS decomposes_to
+FROM w JOIN b USING (s, {xs}) JOIN cheap USING (id) JOIN ends USING (s) WHERE {each("pure{} IS NOT NULL", " AND ")}"""
+
+
+def _hull_query(k: int):
+    def run(t) -> DataFrame:
+        n, spark_sql = range(k), [x.replace("l_quantity::BIGINT", "CAST(l_quantity AS BIGINT)") for x in _AMOUNTS[k]]
+        rows = t("lineitem").selectExpr("l_partkey % 10 AS s", "l_orderkey * 10 + l_linenumber AS key", "CAST(l_extendedprice AS DOUBLE) AS price", *[f"{x} AS a{i}" for i, x in enumerate(spark_sql)])
+        # the parts of each group have names of their own
+        made = F.create_map(*[x for i in n for x in (F.concat(F.lit(f"P{i}of"), F.col("s").cast("string")), F.col(f"a{i}").cast("double"))])
+        energy = F.expr(f"-price / 7071.0678 * (1 + a0 * a1 + 2 * a0 * a{k - 1} + a1 * a{k - 1})")
+        found = hulls.hull(rows.select("key", made.alias("made"), energy.alias("energy")), "key", "made", "energy")
+        listed = F.array_join(F.transform("decomposes_to", lambda m: F.concat(m["key"].cast("string"), F.lit(":"), F.round(1000 * m["amount"]).cast("long").cast("string"))), " ")
+        return found.select("key", F.round("e_above_hull", 6).alias("e_above_hull"), "is_stable", (F.round("formation", 6) + 0.0).alias("formation"), listed.alias("decomposes_to"))
+
+    return run
+
+
+for parts in _AMOUNTS:
+    add(f"hull_of_{parts}_parts", _hull_sql(parts))(_hull_query(parts))

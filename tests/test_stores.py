@@ -124,3 +124,50 @@ def test_pools(spark):
     assert [tuple(r) for r in nearby.stored_or_missing(asked, pool, "pos", "k", "made").collect()] == [(1, 9, None, False), (2, 1, 5, True), (3, 1, 5, True)]
     with pytest.raises(ValueError):
         nearby.greedy_unique(pool, "k", None, "v", 0.0)
+
+
+def brute_hull(entries):
+    """key -> (above, formation, mixture) by trying every simplex of entries."""
+    import itertools
+
+    rows = {k: ({p: a / sum(c.values()) for p, a in c.items() if a > 0}, e / sum(a for a in c.values() if a > 0)) for k, c, e in entries if c and e is not None and any(a > 0 for a in c.values())}
+    out = {}
+    for k, (x, e) in rows.items():
+        parts = sorted(x)
+        inside = [(q, y, f) for q, (y, f) in rows.items() if set(y) <= set(parts)]
+        ends = [min((f for _, y, f in inside if set(y) == {p}), default=None) for p in parts]
+        if None in ends:
+            continue
+        best = None
+        for some in itertools.combinations(sorted(inside, key=lambda r: (r[2], r[0])), len(parts)):
+            m = np.array([[y.get(p, 0.0) for p in parts] for _, y, _ in some]).T
+            if abs(np.linalg.det(m)) < 1e-9:
+                continue
+            share = np.linalg.solve(m, [x[p] for p in parts])
+            h = sum(s * f for s, (_, _, f) in zip(share, some, strict=True))
+            if share.min() > -1e-9 and (best is None or h < best[0] - 1e-12):
+                best = h, {q: s for s, (q, _, _) in zip(share, some, strict=True) if s > 1e-9}
+        out[k] = e - best[0], e - sum(x[p] * f for p, f in zip(parts, ends, strict=True)), best[1]
+    return out
+
+
+@pytest.mark.parametrize("piece", [2000, 3])
+def test_hull_of_many_parts(spark, monkeypatch, piece):
+    from tessera.operators import hulls
+
+    monkeypatch.setattr(hulls, "PIECE_ROWS", piece)
+    rng = random.Random(6)
+    entries = [(f"{p}{i}", {p: float(1 + i)}, (1 + i) * rng.uniform(-1, 0)) for p in "ABCD" for i in range(2)]
+    for i in range(36):
+        c = {p: float(rng.randrange(4)) for p in rng.sample("ABCD", rng.randrange(2, 5))}
+        entries.append((f"m{i:02d}", c, sum(c.values()) * rng.uniform(-3, 0)))
+    entries += [("same", {"A": 2.0, "B": 2.0}, -16.0), ("same2", {"A": 1.0, "B": 1.0}, -8.0), ("none", None, 1.0), ("zero", {"A": 0.0}, 1.0), ("noE", {"A": 1.0}, None), ("lost", {"A": 1.0, "Z": 1.0}, -9.0)]
+    df = spark.createDataFrame(entries, "name string, made map<string,double>, total double").repartition(3)
+    got = {r.name: r for r in hulls.hull(df, "name", "made", "total").collect()}
+    want = brute_hull(entries)
+    assert set(got) == set(want) and "lost" not in got and got["same2"].is_stable
+    for k, (above, formation, mix) in want.items():
+        r = got[k]
+        assert r.e_above_hull == pytest.approx(above, abs=1e-8) and r.formation == pytest.approx(formation, abs=1e-8) and r.is_stable == (above < 1e-9)
+        assert {m.key: pytest.approx(m.amount, abs=1e-7) for m in r.decomposes_to} == ({} if r.is_stable else mix)
+    assert hulls.hull(df.limit(0), "name", "made", "total").collect() == []
