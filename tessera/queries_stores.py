@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import hulls, nearby
+from .operators import hulls, nearby, nested, positions, sites, subgraphs
 from .queries import add
+from .sources import readers
+from .sources.compaction import ManifestTable
 from .sources.datastore import Datastore
 from .sources.scratch import new_path
 from .sources.vector_index import IndexSpec
@@ -123,3 +125,106 @@ def _hull_query(k: int):
 
 for parts in _AMOUNTS:
     add(f"hull_of_{parts}_parts", _hull_sql(parts))(_hull_query(parts))
+
+
+# sources, positions, compaction
+
+
+@add("archive_members", "SELECT page_id, length(html)::BIGINT AS chars, page_id * 0.5::DOUBLE AS value FROM pages WHERE page_id % 3 <> 0")
+def _members(t) -> DataFrame:
+    """Pages written as members of tar and zip archives, read back and joined with a CSV of values for two thirds of them."""
+    root = new_path(t.spark, "archives")
+    pages = t("pages").select("page_id", F.format_string("pages/page_%d.html", "page_id").alias("name"), "html")
+    readers.write_archives(pages.where("page_id % 2 = 0"), f"{root}/in/tar", "name", "html", "tar")
+    readers.write_archives(pages.where("page_id % 2 = 1"), f"{root}/in/zip", "name", "html", "zip")
+    t("pages").where("page_id % 3 <> 0").select(F.col("page_id").alias("id"), (F.col("page_id") * 0.5).alias("value")).write.csv(f"{root}/values", header=True)
+    values = t.spark.read.csv(f"{root}/values", header=True, schema="id string, value double")
+    found = readers.members_with_values(readers.read_archives(t.spark, f"{root}/in", 1 << 16), values, "id")
+    return found.select(F.col("id").cast("long").alias("page_id"), F.length(F.decode("body", "utf-8")).cast("long").alias("chars"), "value")
+
+
+@add("line_chunks", "SELECT n // 100 AS chunk, list(p_name || ' ' || p_partkey ORDER BY n) AS entries FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) GROUP BY 1")
+def _lines(t) -> DataFrame:
+    """A file of lines read by ranges of 4 KB, as runs of 100 lines."""
+    path = new_path(t.spark, "lines")
+    t("part").orderBy("p_partkey").select(F.concat_ws(" ", "p_name", "p_partkey")).coalesce(1).write.text(path)
+    return readers.chunks_of_lines(readers.read_lines(t.spark, path, 4096), 100)
+
+
+@add("file_listing", "SELECT 'o_orderstatus=' || o_orderstatus AS folder, TRUE AS has_bytes FROM orders GROUP BY o_orderstatus")
+def _listing(t) -> DataFrame:
+    """The folders of a partitioned table, by its listed files."""
+    path = new_path(t.spark, "listed")
+    t("orders").repartition(2).write.partitionBy("o_orderstatus").parquet(path)
+    found = readers.list_files(t.spark, path, ".parquet")
+    return found.groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg((F.min("size") > 0).alias("has_bytes"))
+
+
+@add("positional_columns", "SELECT c_custkey, c_name AS name, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer")
+def _positional(t) -> DataFrame:
+    """Names beside their keys by position, with the place."""
+    ordered = t("customer").orderBy("c_custkey")
+    return positions.with_index(positions.beside_by_place(ordered.select("c_custkey"), ordered.select(F.col("c_name").alias("name"))).orderBy("c_custkey"), "place")
+
+
+@add("compacted_table", "SELECT event_id, event_type, (SELECT count(DISTINCT event_type) FROM events) AS files FROM events")
+def _compacted(t) -> DataFrame:
+    """Events appended in five batches and merged to one file for each type; a repeated batch changes nothing."""
+    table = ManifestTable(t.spark, new_path(t.spark, "manifests"), ["event_type"])
+    for i in [0, 1, 2, 3, 4, 2]:
+        table.append(t("events").where(F.col("event_id") % 5 == i).select("event_id", "event_type"), f"batch{i}")
+    table.compact()
+    return table.df().select("event_id", "event_type", F.lit(len(table.entries())).cast("long").alias("files"))
+
+
+# nested data, sites and graphs
+
+_FLAGS = [f"{f}_{s}_{v}" for f in "ANR" for s in "FO" for v in ("n", "q")]
+
+
+def _nested(t, rows: DataFrame) -> DataFrame:
+    """(supp, document): flag -> status -> number of lines and quantity, as JSON."""
+    sums = rows.groupBy(F.col("l_suppkey").alias("supp"), "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    cell = lambda name: sums.select("supp", F.array("l_returnflag", "l_linestatus", F.lit(name)).alias("path"), F.col(name).cast("string").alias("value"))
+    return nested.assembled(cell("n").unionByName(cell("q")), "supp", 3)
+
+
+@add("nested_wide", "SELECT l_suppkey AS supp, " + ", ".join(f"coalesce(sum(CASE WHEN l_returnflag = '{n[0]}' AND l_linestatus = '{n[2]}' THEN {'1' if n[4] == 'n' else 'l_quantity'} END), 0)::DOUBLE AS {n}" for n in _FLAGS) + " FROM lineitem GROUP BY 1")
+def _wide(t) -> DataFrame:
+    """Documents of three levels as a row of numbers each; what one lacks is 0."""
+    return nested.wide(_nested(t, t("lineitem")), "supp", "document", names=_FLAGS, depth=3)
+
+
+@add("nested_merged", """WITH s AS (SELECT l_suppkey AS supp, l_returnflag AS f, l_linestatus AS s, l_discount > 0.05 AS o, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL),
+p AS (SELECT supp, f, s, arg_max(n, o) AS n, arg_max(q, o) AS q FROM s GROUP BY ALL) SELECT supp, f || '_' || s AS path, n::BIGINT AS n, q::DOUBLE AS q FROM p""")
+def _merged(t) -> DataFrame:
+    """Documents of lines with small discounts, with those of large discounts merged over them."""
+    low, high = _nested(t, t("lineitem").where("l_discount <= 0.05")), _nested(t, t("lineitem").where("l_discount > 0.05"))
+    both = low.withColumnRenamed("document", "low").join(high.withColumnRenamed("document", "high"), "supp", "full")
+    found = nested.leaves(nested.merged(both, "supp", "low", "high", 3), "supp", "document", 3)
+    of = lambda name: F.max(F.when(F.get("path", F.lit(2)) == name, F.col("value").cast("double")))
+    return found.groupBy("supp", F.array_join(F.slice("path", 1, 2), "_").alias("path")).agg(of("n").cast("long").alias("n"), of("q").alias("q"))
+
+
+_SITES = "SELECT vec_id, unnest([{}]) AS s, embedding::DOUBLE[] AS e FROM embeddings".format(", ".join(f"struct_pack(i := {k}, x := 3 * embedding[{3 * k + 1}]::DOUBLE, y := 3 * embedding[{3 * k + 2}]::DOUBLE, z := 3 * embedding[{3 * k + 3}]::DOUBLE)" for k in range(4)))
+
+
+@add("site_distances", f"""WITH p AS ({_SITES}), d AS (SELECT a.vec_id, a.e, a.s.x - b.s.x - round_even(a.s.x - b.s.x, 0) AS x, a.s.y - b.s.y - round_even(a.s.y - b.s.y, 0) AS y, a.s.z - b.s.z - round_even(a.s.z - b.s.z, 0) AS z FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.s.i < b.s.i),
+m AS (SELECT vec_id, e, x + i AS x, y + j AS y, z + k AS z FROM d, (VALUES (-1), (0), (1)) i(i), (VALUES (-1), (0), (1)) j(j), (VALUES (-1), (0), (1)) k(k))
+SELECT vec_id, round(min(sqrt((5 * x + e[13] * y) ** 2 + (6 * y + e[14] * z) ** 2 + (7 * z) ** 2)), 5) AS least, min(sqrt((5 * x + e[13] * y) ** 2 + (6 * y + e[14] * z) ** 2 + (7 * z) ** 2)) >= 1.5 AS apart FROM m GROUP BY vec_id""")
+def _site_distances(t) -> DataFrame:
+    """Four sites from each vector in a skewed cell: the least distance over periodic images, and whether it reaches a cutoff."""
+    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    row = lambda *x: F.array(*[F.lit(float(c)) if isinstance(c, int) else c for c in x])
+    cells = t("embeddings").select("vec_id", F.array(*[F.array(*[3 * v(3 * k + c) for c in range(3)]) for k in range(4)]).alias("sites"), F.array(row(5, 0, 0), row(v(12), 6, 0), row(0, v(13), 7)).alias("lattice"))
+    return cells.select("vec_id", F.round(sites.min_site_distance(F.col("sites"), F.col("lattice")), 5).alias("least"), sites.sites_apart(F.col("sites"), F.col("lattice"), 1.5).alias("apart"))
+
+
+@add("subgraph_match", """WITH l AS (SELECT l_orderkey, l_returnflag AS f, l_linestatus AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+w AS (SELECT l_orderkey, f AS a, lead(f) OVER w AS b, lead(f, 2) OVER w AS c, lead(s) OVER w AS ab, lead(s, 2) OVER w AS bc FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
+SELECT DISTINCT l_orderkey FROM w WHERE b = 'N' AND ((a = 'A' AND c = 'R' AND ab = 'O' AND bc = 'F') OR (a = 'R' AND c = 'A' AND ab = 'F' AND bc = 'O'))""")
+def _subgraph(t) -> DataFrame:
+    """Orders as chains of lines (labelled by flag, linked by the later line's status) that hold A -O- N -F- R."""
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"))).alias("l"))
+    graphs = lines.select("l_orderkey", F.transform("l", lambda x: x["l_returnflag"]).alias("nodes"), F.transform(F.slice("l", F.lit(2), F.size("l")), lambda x, i: F.struct(i.alias("a"), (i + 1).alias("b"), x["l_linestatus"].alias("kind"))).alias("edges"))
+    return subgraphs.with_subgraph(graphs, "nodes", "edges", ["A", "N", "R"], [(0, 1, "O"), (1, 2, "F")]).select("l_orderkey")
