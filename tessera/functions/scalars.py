@@ -96,3 +96,8 @@ def name_part(c: Column, i: int) -> Column:
 def table_counts_key(*columns: Column) -> Column:
     """The md5 of several columns joined by blanks."""
     return F.md5(F.concat_ws(" ", *columns))
+
+
+def atomic_density(volume: Column, n: Column) -> Column:
+    """Atoms in a unit of volume; null without volume."""
+    return F.when(volume > 0, n / volume)

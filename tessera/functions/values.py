@@ -33,8 +33,11 @@ def repaired_encoding(c: Column) -> Column:
 
 def repaired_array(c: Column, of: str = "string") -> Column:
     """Arrays written with single quotes, None or NaN in place of JSON's words, parsed."""
-    json = F.regexp_replace(F.replace(c, F.lit("'"), F.lit('"')), r"\b(None|NaN|nan)\b", "null")
-    return F.from_json(json, f"array<{of}>")
+    # quoted items are taken whole, so an apostrophe inside double quotes, or an escaped one, stays
+    items = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|[^\s,\[\]"\']+'), F.lit(0))
+    inner = lambda x: F.replace(F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+    word = lambda x: F.when(x.isin("None", "NaN", "nan", "null"), "null").when(x.startswith("'"), F.concat(F.lit('"'), inner(x), F.lit('"'))).otherwise(x)
+    return F.when(c.rlike(r"^\s*\["), F.from_json(F.concat(F.lit("["), F.array_join(F.transform(items, word), ","), F.lit("]")), f"array<{of}>"))
 
 
 def wide_hex(c: Column) -> Column:

@@ -28,3 +28,20 @@ def year_deltas(prices: DataFrame, item: str, at: str, price: str, years: list[i
     out = out.join(F.broadcast(index("a")), F.year("then_day") == F.col("_ya"), "left").join(F.broadcast(index("b")), F.year("day") == F.col("_yb"), "left")
     fair = F.col("then") * F.col("_ib") / F.col("_ia")
     return out.withColumn("percent_real", F.when(fair != 0, 100 * (F.col("now") - fair) / fair)).drop("_ya", "_yb", "_ia", "_ib")
+
+
+def window_change(prices: DataFrame, item: str, at: str, price: str, years: int, cpi: DataFrame) -> DataFrame:
+    """(item, start, low, high, latest, change, change_real) over the last so many years of each item's days.
+
+    change is in percent from the first price in the window to the last, change_real against the first one in the last one's money
+    (cpi: year, index); null where the first price or an index is 0 or missing. All are partial aggregates; no item is sorted.
+    """
+    last = prices.groupBy(item).agg(F.max(F.col(at).cast("date")).alias("_last"))
+    inside = prices.withColumn("_day", F.col(at).cast("date")).join(last, item).where(F.col("_day") >= years_before(F.col("_last"), years))
+    s = inside.groupBy(item).agg(F.min_by(price, "_day").alias("start"), F.min("_day").alias("_first"), F.min(price).alias("low"), F.max(price).alias("high"), F.max_by(price, "_day").alias("latest"), F.max("_day").alias("_end"))
+    index = lambda n: cpi.select(F.col("year").alias(f"_y{n}"), F.col("index").alias(f"_i{n}"))
+    # a row for each year
+    s = s.join(F.broadcast(index("a")), F.year("_first") == F.col("_ya"), "left").join(F.broadcast(index("b")), F.year("_end") == F.col("_yb"), "left")
+    fair = F.col("start") * F.col("_ib") / F.when(F.col("_ia") != 0, F.col("_ia"))
+    percent = lambda base: F.when(base != 0, 100 * (F.col("latest") - base) / base)
+    return s.select(item, "start", "low", "high", "latest", percent(F.col("start")).alias("change"), percent(fair).alias("change_real"))

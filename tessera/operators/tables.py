@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.query import page_url
+
 
 def to_frame(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = (), limit: int | None = None) -> DataFrame:
     """The columns asked for, in their order, or all but the excluded ones; the first limit rows."""
@@ -23,26 +26,33 @@ def as_json(df: DataFrame, exclude: tuple[str, ...] = ()) -> Column:
 def page_json(df: DataFrame, order: list, page: int, size: int, url: str) -> DataFrame:
     """One row (count, next, previous, results): a page of rows as JSON objects, with links to its neighbours.
 
-    The count is an aggregate; only the page's rows are sorted out and gathered.
+    A page before the first is the first, one behind the last the last; the other parameters of the URL stay in the links. The
+    count is an aggregate; only the page's rows are sorted out and gathered.
     """
-    total = df.agg(F.count("*").alias("count"))
+    n = df.count()
+    page = min(max(page, 1), max(1, -(-n // size)))
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
     listed = rows.agg(F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order], as_json(df).alias("_row")))).alias("r")).select(F.transform("r", lambda x: x["_row"]).alias("results"))
-    link = lambda n: F.lit(f"{url}?page={n}")
-    return total.crossJoin(F.broadcast(listed)).select("count", F.when(F.col("count") > page * size, link(page + 1)).alias("next"), F.when(F.lit(page > 1), link(page - 1)).alias("previous"), "results")
+    link = lambda there, to: F.lit(page_url(url, to) if there else None).cast("string")
+    return listed.select(F.lit(n).cast("long").alias("count"), link(n > page * size, page + 1).alias("next"), link(page > 1, page - 1).alias("previous"), "results")
+
 
+def page_csv(df: DataFrame, columns: list[str], sep: str = ",", header: bool = False) -> DataFrame:
+    """(line): rows as delimited text; values with the separator, quotes or line ends are quoted. header puts the names first."""
+    special = "[" + re.escape(sep) + '"\r\n]'
 
-def page_csv(df: DataFrame, columns: list[str], sep: str = ",") -> DataFrame:
-    """(line): rows as delimited text; values with the separator or quotes are quoted."""
-    def cell(c: str) -> Column:
-        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
-        return F.when(v.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
+    def cell(v: Column) -> Column:
+        return F.when(v.rlike(special), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(v)
 
-    return df.select(F.concat_ws(sep, *[cell(c) for c in columns]).alias("line"))
+    lines = df.select(F.concat_ws(sep, *[cell(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]).alias("line"))
+    names = df.sparkSession.range(1, numPartitions=1).select(F.concat_ws(sep, *[cell(F.lit(c)) for c in columns]).alias("line"))
+    return names.unionByName(lines) if header else lines
 
 
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]), F.lit(" |")).alias("line"))
+    """(line): rows of a Markdown table; bars are escaped and line ends become breaks."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), "\r\n|\r|\n", "<br>"), F.lit(""))
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
 
 
 def summary_lines(df: DataFrame, key: str, exclude: tuple[str, ...] = ()) -> DataFrame:

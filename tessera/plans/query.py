@@ -150,6 +150,10 @@ class Query:
     def from_url(self, url: str) -> Query:
         return self.from_config(parse_url(url))
 
+    def web(self) -> Query:
+        """The query over what web users may see of the table; call it first, as it starts anew."""
+        return self._with(self.catalog.read_web(self.spec.name), False)
+
 
 def parse_url(url: str) -> dict:
     """A configuration from the parameters of a URL: values are JSON or else text, the last of several counts."""

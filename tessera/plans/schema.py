@@ -36,6 +36,9 @@ class TableSpec:
     raw: tuple[str, ...] = ()
     derive: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     comments: dict[str, str] = field(default_factory=dict)
+    archive_exclude: tuple[str, ...] = ()
+    #: What web queries may see of the table; everything if it is None.
+    visible: Callable[[DataFrame], DataFrame] | None = None
 
     def with_derived(self, df: DataFrame) -> DataFrame:
         """df with the derived columns of all fragments, in order; a later one wins."""
@@ -68,3 +71,8 @@ class Catalog:
     def read(self, name: str) -> DataFrame:
         spec = self.spec(name)
         return spec.with_derived(self._read(spec.name))
+
+    def read_web(self, name: str) -> DataFrame:
+        """The rows of a table that web queries may see; their filters come on top."""
+        visible = self.spec(name).visible
+        return self.read(name) if visible is None else visible(self.read(name))

@@ -242,4 +242,4 @@ def _pca(t) -> DataFrame:
     rows = t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("place"))
 
-from . import queries_stores, queries_tables, queries_values  # noqa: E402, F401
+from . import queries_edits, queries_stores, queries_tables, queries_values  # noqa: E402, F401

@@ -38,7 +38,7 @@ simple("flagged_with_any_tag", "SELECT p_partkey FROM part WHERE p_size >= 10 AN
 simple("pick_descriptor", "SELECT event_id, value FROM events WHERE event_type = 'click' AND user_id = 46 ORDER BY event_id LIMIT 1", lambda t: t("events").where("event_type = 'click' AND user_id = 46").select("event_id", "value").orderBy("event_id").limit(1))
 simple("dashboard_filters", "SELECT p_partkey FROM part WHERE p_retailprice BETWEEN 900 AND 1200 AND p_brand IN ('Brand#2', 'Brand#17') AND p_size BETWEEN 5 AND 40", lambda t: t("part").where(F.col("p_retailprice").between(900, 1200) & F.col("p_brand").isin("Brand#2", "Brand#17") & F.col("p_size").between(5, 40)).select("p_partkey"))
 simple("subsystem_filter", "SELECT p_partkey FROM part WHERE list_has_all(['red', 'ring', 'small', 'widget'], string_split(p_name, ' '))", lambda t: t("part").where(F.size(F.array_except(F.split("p_name", " "), F.array(*[F.lit(x) for x in ("red", "ring", "small", "widget")]))) == 0).select("p_partkey"))
-simple("running_by_source", "SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM events", lambda t: t("events").select("event_id", F.count("*").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("n")))
+simple("count_so_far", "SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM events", lambda t: t("events").select("event_id", F.count("*").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("n")))
 simple("linear_ramp", "SELECT l_orderkey, l_linenumber, 300.0 + (900.0 - 300.0) * (l_linenumber - 1) / 6 AS temperature FROM lineitem", lambda t: t("lineitem").select("l_orderkey", "l_linenumber", (F.lit(300.0) + (900.0 - 300.0) * (F.col("l_linenumber") - 1) / 6).alias("temperature")))
 
 # dates, maps and text
@@ -48,7 +48,7 @@ simple("epoch_time", "SELECT event_id, to_timestamp(1700000000 + event_id)::TIME
 simple("report_date", "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS shown FROM orders", lambda t: t("orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("shown")))
 simple("merged_maps", "SELECT user_id, max(value) FILTER (event_type = 'click') AS click, 1.5::DOUBLE AS view FROM events GROUP BY user_id", lambda t: t("events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", F.col("value"))).alias("c")).withColumn("m", tables.merged_maps(F.create_map(F.lit("click"), F.col("c"), F.lit("view"), F.lit(9.0)), F.create_map(F.lit("view"), F.lit(1.5)))).select("user_id", F.col("m")["click"].alias("click"), F.col("m")["view"].alias("view")))
 simple("chunked_lists", "SELECT l_orderkey, ceil(count(*) / 3.0)::BIGINT AS chunks, least(3, count(*)) AS first_size FROM lineitem GROUP BY 1", lambda t: t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_linenumber").cast("string"))).alias("v")).withColumn("c", tables.chunked(F.col("v"), 3)).select("l_orderkey", F.size("c").cast("long").alias("chunks"), F.size(F.get("c", F.lit(0))).cast("long").alias("first_size")))
-simple("flat_json", "SELECT event_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS k FROM events", lambda t: t("events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).alias("k")))
+simple("json_key_or_zero", "SELECT event_id, coalesce(json_extract(props, '$.k')::BIGINT, 0) AS k FROM events", lambda t: t("events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).alias("k")))
 simple("name_suggestion", "SELECT c_custkey, c_name || '-2' AS suggested FROM customer", lambda t: t("customer").select("c_custkey", F.concat("c_name", F.lit("-2")).alias("suggested")).join(t("customer").select(F.col("c_name").alias("suggested")), "suggested", "left_anti").select("c_custkey", "suggested"))
 simple("pattern_cleanup", "SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '#', '-', 'g'), '[0-9]+$', 'n') AS cleaned FROM part", lambda t: t("part").select("p_partkey", F.regexp_replace(F.regexp_replace("p_brand", "#", "-"), "[0-9]+$", "n").alias("cleaned")))
 simple("molar_volume", "SELECT p_partkey, round(p_retailprice / p_size * 0.602214076, 6) AS v FROM part WHERE p_size > 0", lambda t: t("part").where("p_size > 0").select("p_partkey", F.round(scalars.molar_volume(F.col("p_retailprice"), F.col("p_size")), 6).alias("v")))

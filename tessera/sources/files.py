@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.relations import missing
+from ..plans.schema import TableSpec
+from .scratch import Stage, delete, file_system
 
 
 def read_archive(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -26,11 +30,79 @@ def write_archive(df: DataFrame, path: str, columns: list[str] | None = None) ->
     return df.select(*flat).write.mode("overwrite").option("header", True).option("compression", "gzip").option("escape", '"').csv(path)
 
 
+def archive(df: DataFrame, spec: TableSpec, folder: str, kind: str = "csv", columns: str | list[str] = "minimal", name: str | None = None, today: date | None = None) -> str:
+    """Writes rows of a table as an archive in a folder and returns its path.
+
+    columns: minimal (the key and the raw columns, from which the others can be derived again), full (all but those that spec
+    excludes) or a list. kind: parquet, or csv for zips that hold a CSV with a header each. Without a name it is
+    <table>-<columns>-<year>-<month>-<day>.parquet or .csv.zip. Both are folders of files, one for each partition of df.
+    """
+    if kind not in ("csv", "parquet"):
+        raise ValueError(f"archives are csv or parquet, not {kind}")
+    label = columns if isinstance(columns, str) else "custom"
+    if isinstance(columns, str):
+        columns = {"minimal": spec.archive_columns, "full": lambda d: spec.columns(d, exclude=spec.archive_exclude)}[columns](df)
+    path = f"{folder.rstrip('/')}/{name or f'{spec.name}-{label}-{(today or date.today()):%Y-%m-%d}.' + ('parquet' if kind == 'parquet' else 'csv.zip')}"
+    if kind == "parquet":
+        df.select(*columns).write.mode("overwrite").parquet(path)
+    else:
+        _write_zipped_csv(df.select(*columns), path)
+    return path
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """df with nested columns as JSON."""
+    return df.select(*[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+def _write_zipped_csv(df: DataFrame, path: str) -> None:
+    """A zip for each partition with rows, with one CSV in it, written batch by batch beside and renamed when it is whole."""
+    from .readers import _opened
+
+    delete(df.sparkSession, path)
+    fs, where = file_system(df.sparkSession, path)
+    fs.mkdirs(where(path))
+
+    def run(batches):
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import csv
+        from pyspark import TaskContext
+
+        store, at = _opened(path)
+        task, n, zipped, out = TaskContext.get(), 0, None, None
+        beside, final = f"{at}/{task.partitionId():05d}.{task.taskAttemptId()}.partial", f"{at}/{task.partitionId():05d}.zip"
+        for b in batches:
+            if b.num_rows and zipped is None:
+                out = store.open_output_stream(beside)
+                zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                member = zipped.open(f"{task.partitionId():05d}.csv", "w", force_zip64=True)
+            if b.num_rows:
+                csv.write_csv(pa.Table.from_batches([b]), member, csv.WriteOptions(include_header=n == 0))
+                n += b.num_rows
+        if zipped is not None:
+            member.close()
+            zipped.close()
+            out.close()
+            store.move(beside, final)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    _flat(df).mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
 def load_archive(spark: SparkSession, path: str, table: str, key: list[str], schema: T.StructType | None = None) -> int:
     """Appends an archive's rows whose keys the Parquet table has not; returns how many."""
-    new = missing(read_archive(spark, path, schema), spark.read.parquet(table), key).checkpoint()
+    if path.rstrip("/").endswith(".csv.zip"):
+        rows = read_zipped_csv(spark, path, schema or spark.read.parquet(table).schema)
+    else:
+        rows = read_archive(spark, path, schema)
+    stage = Stage(spark, "loaded")
+    new = stage(missing(rows, spark.read.parquet(table), key))
     new.write.mode("append").parquet(table)
-    return new.count()
+    n = new.count()
+    stage.drop(new)
+    return n
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, head: str | None = None) -> DataFrame:
