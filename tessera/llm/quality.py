@@ -65,7 +65,9 @@ def passes(policy: str, bits: Column | None = None) -> Column:
 
 
 def ablation(entries: DataFrame, policy: str) -> DataFrame:
-    """For each rule of a policy: rows it fails, rows that only it fails, and rows kept without it; counts by mask first."""
+    """For each rule of a policy: rows it fails, rows that only it fails, and rows kept without it; counts by mask first.
+
+    entries are rows of ledger(): repeated rows count each, further columns are ignored, and an empty table gives no rows."""
     rules = entries.sparkSession.createDataFrame([(r, BIT[r]) for r in POLICIES[policy]], "rule string, bit int")
     by_mask = entries.groupBy(F.col("rule_bits").bitwiseAND(F.lit(mask(policy))).alias("bits")).agg(F.count("*").alias("n"))
     each = by_mask.select("bits", "n", F.explode(F.array(*[F.lit(BIT[r]) for r in POLICIES[policy]])).alias("bit"))

@@ -87,6 +87,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base")).alias("base_failed"), quality.passes("v1").alias("kept"), "rule_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of policy v2: documents it fails, those that only it fails, and those kept without it."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")), "v2")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -132,6 +137,7 @@ QUERIES = {
     "op7_remove_repeats": op7_remove_repeats,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
+    "quality_ablation": quality_ablation,
     "op10_token_files": op10_token_files,
     "op11_find_runs": op11_find_runs,
     "op12_nearest_vectors": op12_nearest_vectors,
@@ -248,3 +254,7 @@ WITH v AS (SELECT vec_id, max(embedding) AS e FROM embeddings WHERE len(list_fil
 s AS (SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.e, b.e), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS score FROM v q JOIN v b ON q.vec_id <> b.vec_id AND len(q.e) = len(b.e) WHERE q.vec_id % 20 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s) WHERE rank <= 20""",
 }
+_RULES = ", ".join(f"('{r}', {quality.BIT[r]})" for r in quality.POLICIES["v2"])
+SQL["quality_ablation"] = f"""
+SELECT rule, sum((rule_bits & {quality.mask("v2")} & bit <> 0)::BIGINT)::BIGINT AS failed, sum((rule_bits & {quality.mask("v2")} = bit)::BIGINT)::BIGINT AS failed_alone,
+  sum((rule_bits & {quality.mask("v2")} IN (0, bit))::BIGINT)::BIGINT AS kept_without FROM ({SQL["op9_quality_rules"]}) CROSS JOIN (VALUES {_RULES}) v(rule, bit) GROUP BY rule"""

@@ -174,6 +174,16 @@ def test_interleave(spark, docs):
         assert all(abs(sum(r.source == s for r in x) - all_ / 7) <= 2 for x in per.values())
 
 
+def test_interleave_keeps_columns_of_any_name(spark, docs):
+    names = ["_n", "_k", "_h", "_rank", "_f", "_all", "_at", "_b", "_w", "_row", "_id", "_t0", "a.b"]
+    wide = docs.select("doc_id", "source", "SHARD", *[F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    plain = {(r.doc_id, r.source): (r.shard, r.slot) for r in sharding.interleave(docs.select("doc_id", "source"), 7).collect()}
+    placed = sharding.interleave(wide, 7)
+    assert placed.columns == ["doc_id", "source", *names, "shard", "slot"]
+    for r in placed.collect():
+        assert plain[r.doc_id, r.source] == (r.shard, r.slot) and all(r[n] == f"{n}:{r.doc_id}" for n in names)
+
+
 def test_chat_round_trip(spark):
     odd = ["<|end|>\n", "<|user|>x", "a\\", "\\|<|", None, "", "line\nline", "<", "|>", "é" * 5000]
     turns = [(1, i, r, t) for i, (r, t) in enumerate((r, t) for t in odd for r in ("user", "assistant", "ro|>le", None))] + [(None, 0, "assistant", "x"), (2, None, "user", "y"), (2, None, "user", "y")]
