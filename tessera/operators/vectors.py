@@ -113,11 +113,12 @@ def clusters_of_equal(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def fit_partitions(df: DataFrame, key: str, vector: str, cells: int, sample: int = 20_000, seed: int = 1):
-    """Cell centres for a partitioned index, by k-means on a bounded sample of rows."""
+    """Cell centres for a partitioned index, by k-means on a sample of about so many rows, chosen by hash without sorting the table."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = df.orderBy(F.xxhash64(F.lit(seed), F.col(key))).limit(sample).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    share = min(1.0, sample / max(1, df.count()))
+    rows = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) < share * (1 << 20)).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     return KMeans(k=cells, seed=seed).fit(rows)
 
 
@@ -151,7 +152,10 @@ def search_cells_exactly(indexed: DataFrame, queries: DataFrame, model, vector:
     by = Window.partitionBy("query_id").orderBy("distance", key)
 
     def scored(some: DataFrame) -> DataFrame:
-        met = indexed.select("cell", key, vector).join(F.broadcast(some.select("query_id", "_q", "cell")), "cell").where(F.col(key) != F.col("query_id"))
+        # measured, as the queries may be a share of a large table
+        size = some.agg(F.coalesce(F.sum(F.size("_q") * 8 + 32), F.lit(0))).first()[0]
+        some = some.select("query_id", "_q", "cell")
+        met = indexed.select("cell", key, vector).join(F.broadcast(some) if size <= BROADCAST_BYTES else some, "cell").where(F.col(key) != F.col("query_id"))
         return met.select("query_id", key, METRICS["l2"](F.col(vector), F.col("_q")).alias("distance"))
 
     def best(found: DataFrame) -> DataFrame:

@@ -173,6 +173,7 @@ TANIMOTO = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CASE WHEN x[1]
 simple("tanimoto", f"SELECT vec_id, round({TANIMOTO.format(a='embedding', b='q')}, 6) AS similarity FROM embeddings, (SELECT {QUERY_VECTOR} AS q)", lambda t: _with_query(t).select("vec_id", F.round(vectors.tanimoto(vectors.to_words(F.col("embedding")), vectors.to_words(F.col("q"))), 6).alias("similarity")))
 simple("top_k", f"SELECT vec_id, round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 4) AS distance FROM embeddings, (SELECT {QUERY_VECTOR} AS q) ORDER BY list_distance(embedding::DOUBLE[], q::DOUBLE[]), vec_id LIMIT 20", lambda t: vectors.top_k(_with_query(t), "vec_id", vectors.METRICS["l2"](F.col("embedding"), F.col("q")), 20).withColumn("distance", F.round("distance", 4)))
 simple("similarity_pairs", f"SELECT x.vec_id AS a, y.vec_id AS b, round({TANIMOTO.format(a='x.embedding', b='y.embedding')}, 6) AS similarity FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {TANIMOTO.format(a='x.embedding', b='y.embedding')} >= 0.6", lambda t: vectors.tanimoto_pairs(t("embeddings").select("vec_id", vectors.to_words(F.col("embedding")).alias("words")), "vec_id", "words", 0.6).withColumn("similarity", F.round("similarity", 6)))
+simple("distance_jaccard", f"SELECT vec_id, round(1 - {TANIMOTO.format(a='embedding', b='q')}, 6) + 0.0 AS d FROM embeddings, (SELECT {QUERY_VECTOR} AS q)", lambda t: _with_query(t).select("vec_id", (F.round(vectors.METRICS["jaccard"](F.col("embedding"), F.col("q")), 6) + 0.0).alias("d")))
 simple("nearest_queries", "SELECT * FROM (SELECT q.vec_id AS query_id, b.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(b.embedding::DOUBLE[], q.embedding::DOUBLE[]), b.vec_id) AS INT) AS rank FROM embeddings b JOIN embeddings q ON b.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 5", lambda t: vectors.nearest_queries(t("embeddings"), t("embeddings").where("vec_id % 50 = 0"), "vec_id", "embedding", "l2", 5).select("query_id", "vec_id", "rank"))
 simple("equal_groups", "SELECT p_partkey, dense_rank() OVER (ORDER BY f)::BIGINT AS cluster FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand) AS f FROM part)", lambda t: vectors.clusters_of_equal(t("part"), "p_partkey", "p_brand"))
 add("greedy_unique", """WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
@@ -181,7 +182,10 @@ r AS (SELECT label, vec_id, n, [v] AS kept, TRUE AS is_kept FROM e WHERE n = 1 U
 SELECT label, vec_id FROM r WHERE is_kept""")(lambda t: nearby.greedy_unique(t("embeddings"), "vec_id", "label", "embedding", 1.0))
 
 
-@add("butina")
+@add("butina", f"""WITH RECURSIVE p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE {TANIMOTO.format(a='x.embedding', b='y.embedding')} >= 0.6),
+n AS (SELECT e.vec_id, coalesce(list(b) FILTER (b IS NOT NULL), []) AS near, count(b) AS d FROM embeddings e LEFT JOIN p ON p.a = e.vec_id GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY d DESC, vec_id DESC) AS k FROM n),
+r AS (SELECT k, vec_id, [vec_id] AS kept, TRUE AS leads FROM o WHERE k = 1 UNION ALL SELECT o.k, o.vec_id, CASE WHEN list_has_any(kept, near) THEN kept ELSE list_append(kept, o.vec_id) END, NOT list_has_any(kept, near) FROM r JOIN o ON o.k = r.k + 1),
+l AS (SELECT vec_id, k FROM r WHERE leads) SELECT o.vec_id, arg_min(l.vec_id, l.k) AS cluster FROM o JOIN l ON l.vec_id = o.vec_id OR list_contains(o.near, l.vec_id) GROUP BY 1""")
 def _butina(t) -> DataFrame:
     words = t("embeddings").select("vec_id", vectors.to_words(F.col("embedding")).alias("words"))
     if not t.spark.sparkContext.getCheckpointDir():
@@ -211,6 +215,7 @@ from .operators import selection  # noqa: E402
 
 for mode, test in {"include": "len(list_filter(w, lambda x: NOT list_contains(['PROMO', 'SMALL', 'BRASS', 'STEEL', 'ECONOMY'], x))) = 0", "include_all": "list_sort(list_distinct(w)) = ['BRASS', 'ECONOMY', 'PROMO', 'SMALL', 'STEEL']", "exclude": "NOT list_has_any(w, ['PROMO', 'SMALL', 'BRASS', 'STEEL', 'ECONOMY'])"}.items():
     simple(f"allowed_{mode}", f"SELECT p_partkey FROM (SELECT *, string_split(p_type, ' ') AS w FROM part) WHERE {test}", lambda t, mode=mode: t("part").where(selection.allowed(F.split("p_type", " "), ["PROMO", "SMALL", "BRASS", "STEEL", "ECONOMY"], mode)).select("p_partkey"))
+simple("allowed_exactly", "SELECT p_partkey FROM (SELECT *, list_sort(list_distinct(string_split(p_type, ' '))) AS w FROM part) WHERE w = (SELECT list_sort(list_distinct(string_split(min(p_type), ' '))) FROM part)", lambda t: t("part").where(selection.allowed(F.split("p_type", " "), t("part").agg(F.min("p_type")).first()[0].split(" "), "include_all")).select("p_partkey"))
 simple("patterns_all", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'the') AND regexp_matches(text, '[0-9]')", lambda t: t("documents").where(selection.matches(F.col("text"), ["the", "[0-9]"], "all")).select("doc_id"))
 simple("filter_count_inverse", "SELECT count_if(NOT (o_totalprice > 1500))::BIGINT AS n FROM orders", lambda t: selection.apply_filter(t("orders"), F.col("o_totalprice") > 1500, "count", inverse=True))
 simple("invalid_dropped", "SELECT event_id FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) IS NOT NULL", lambda t: t("events").where(F.get_json_object("props", "$.k").try_cast("long").isNotNull()).select("event_id"))

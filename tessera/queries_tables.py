@@ -25,6 +25,7 @@ simple("update_many", "SELECT p_partkey, CASE WHEN p_partkey IN (1, 4, 9) THEN '
 simple("work_to_fill", "SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45 WHERE l_linenumber IS NULL AND o_orderstatus <> 'P'", lambda t: tables.to_fill(t("orders").join(t("lineitem").where("l_quantity > 45"), F.col("o_orderkey") == F.col("l_orderkey"), "left"), ["l_linenumber"], F.col("o_orderstatus") != "P").select("o_orderkey", "l_linenumber"))
 simple("update_column", "SELECT p_partkey, upper(p_brand) AS p_brand, p_size * 2 AS double_size FROM part", lambda t: tables.update_column(tables.update_column(t("part").select("p_partkey", "p_brand", "p_size"), "p_brand", F.upper("p_brand")), "double_size", F.col("p_size") * 2).drop("p_size"))
 simple("exists_rows", "SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 1e12", lambda t: tables.exists(t("orders").where("o_totalprice > 1e12")))
+simple("exists_some", "SELECT count(*) > 0 AS found FROM orders WHERE o_totalprice > 0", lambda t: tables.exists(t("orders").where("o_totalprice > 0")))
 simple("unique_partitions", "SELECT DISTINCT event_type FROM events", lambda t: t("events").select("event_type").distinct())
 simple("null_bypass", "SELECT doc_id, length(text) AS n FROM documents", lambda t: t("documents").select("doc_id", tables.null_bypass(F.col("text"), F.length("text").cast("long")).alias("n")))
 simple("pool_new", "SELECT p_partkey, p_type || p_size NOT IN (SELECT p_type || p_size FROM part WHERE p_partkey < 50) AS is_new FROM part", lambda t: tables.in_pool(t("part").select("p_partkey", "p_type", "p_size"), t("part").where("p_partkey < 50"), ["p_type", "p_size"]).select("p_partkey", "is_new"))

@@ -138,3 +138,15 @@ def test_window_change(spark):
     got = {r.i: r for r in prices.window_change(rows, "i", "d", "p", 3, cpi).collect()}
     assert (got["a"].start, got["a"].low, got["a"].high, got["a"].latest) == (10.0, 5.0, 11.0, 11.0)
     assert got["a"].change == pytest.approx(10.0) and got["a"].change_real == pytest.approx(0.0) and got["b"].change is None and got["b"].change_real is None
+
+
+def test_principal_axes_are_those_of_numpy(spark):
+    import numpy as np
+
+    from tessera import queries
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:2]
+    got = np.array([r.place for r in queries.QUERIES["principal_axes"](spark, "/root/testdata/sf0.001").orderBy("vec_id").collect()])
+    assert np.abs(np.abs(got) - np.abs(x @ axes.T)).max() < 1e-6

@@ -121,3 +121,22 @@ def test_compaction_of_odd_partition_values(spark, tmp_path):
         table.append(spark.createDataFrame([("a b+c/é", i), ("x=y", i), (None, i)], "k string, v int").coalesce(1), f"b{i}")
     want = sorted((str(r.k), r.v) for r in table.df().collect())
     assert table.compact(1 << 20) == 6 and sorted((str(r.k), r.v) for r in table.df().collect()) == want and len(want) == 9
+
+
+def test_tsv_with_headers_inside(spark, tmp_path):
+    from tessera.sources import files
+
+    (tmp_path / "a.tsv").write_text("id\tname\n1\tx\nid\tname\n2\t\n")
+    with gzip.open(tmp_path / "b.tsv.gz", "wt") as f:
+        f.write("id\tname\n3\tz\n")
+    got = files.read_tsv(spark, str(tmp_path), spark.createDataFrame([], "id string, name string").schema, head="id")
+    assert sorted(tuple(r) for r in got.collect()) == [("1", "x"), ("2", None), ("3", "z")]
+
+
+def test_jdbc_queries(spark):
+    from tessera.sources import files
+
+    url = "jdbc:derby:memory:shop;create=true"
+    spark.range(50).select(F.col("id"), (F.col("id") * 2).alias("v")).write.jdbc(url, "things", "overwrite", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    got = files.read_jdbc(spark, url, 'SELECT * FROM things WHERE "id" >= 45', fetch=10, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(45, 50)]
