@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, group_key
+from .common import BROADCAST_BYTES, group_key, without
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks that a source is dealt in; a power of two.
@@ -133,9 +133,9 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     together; an empty table gives no rows. Input columns named like the new ones are replaced.
     """
     plan = plan if plan is not None else plan_mix(docs, size, key, source, weights, cap, shards, seed)
-    taken = {"source_size", "target", "copies", "_k", "_h", "_whole", "_bounds", "_more"}
-    keep = [c for c in docs.columns if c.lower() not in taken]
-    out = docs.withColumns({"_k": group_key(F.col(source)), "_h": drawn_hash(F.col(key), seed)}).select(*[F.col(f"`{c}`") for c in keep], "_k", "_h", F.coalesce(F.col(size), F.lit(0)).alias("_size")).join(plan, "_k")
+    # the input's columns travel inside a struct, so none can clash with those made here
+    row = F.struct(*[F.col(f"`{c}`") for c in without(docs, ["source_size", "target", "copies"])]).alias("_row")
+    out = docs.select(row, group_key(F.col(source)).alias("_k"), drawn_hash(F.col(key), seed).alias("_h"), F.coalesce(F.col(size), F.lit(0)).alias("_size")).join(plan, "_k")
     at = block_place(F.col("_h"))
 
     def copy(e: Column, shard: Column) -> Column:
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, size: str = "size", key: str = "doc_id", source: str =
     drawn = F.filter(F.transform("_bounds", lambda b, e: F.when(F.element_at(b, -1) > at, copy(e.cast("int"), F.size(F.filter(b, lambda x: x <= at))))), lambda c: c.isNotNull())
     alone = F.array(copy(F.col("_whole"), F.pmod("_h", F.size(F.get("_bounds", F.lit(0))))))
     copies = F.when(F.array_contains("_more", F.col("_h")) | ((F.col("_size") == 0) & (F.size(drawn) == 0)), F.concat(drawn, alone)).otherwise(drawn)
-    return out.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in keep], "source_size", "target", "copies")
+    return out.withColumn("copies", copies).select("_row.*", "source_size", "target", "copies")
 
 
 def mixed_rows(plan: DataFrame) -> DataFrame:
