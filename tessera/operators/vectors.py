@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Measured bytes up to which a side is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -78,20 +84,66 @@ def nearest_queries(base: DataFrame, queries: DataFrame, key: str, vector: str,
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Rows of either side that a task of tanimoto_pairs compares.
+PAIR_ROWS = 4096
+
+
+def _bit_matrix(words: pa.ListArray) -> np.ndarray:
+    """Words of 32 bits as a matrix of zeros and ones."""
+    flat = words.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    return np.unpackbits(flat.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little").astype(np.float32)
+
+
 def tanimoto_pairs(df: DataFrame, key: str, words: str, cutoff: float) -> DataFrame:
-    """Pairs at or over a cutoff, without comparing all: a pair's bit counts differ by at most the cutoff's
-    ratio, and of the bits - ceil(cutoff * bits) + 1 rarest bits of each row one is shared."""
-    n = df.withColumn("_n", _bits(F.col(words), F.col(words), lambda x, y: x.bitwiseAND(y)))
-    bit = F.flatten(F.transform(words, lambda w, j: F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.when(F.pmod(F.floor(w / F.pow(F.lit(2.0), i)), F.lit(2)) == 1, j * 32 + i)), lambda x: x.isNotNull())))
-    n = n.withColumn("_bit", bit)
-    often = n.select(F.explode("_bit").alias("bit")).groupBy("bit").agg(F.count("*").alias("often"))
-    ranked = n.select(key, "_n", F.explode("_bit").alias("bit")).join(often, "bit")
-    w = Window.partitionBy(key).orderBy("often", "bit")
-    prefix = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * cutoff) + 1).select(key, "_n", "bit")
-    a, b = prefix.select(F.col(key).alias("a"), F.col("_n").alias("na"), "bit"), prefix.select(F.col(key).alias("b"), F.col("_n").alias("nb"), "bit")
-    pairs = a.join(b, "bit").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= cutoff * F.greatest("na", "nb"))).select("a", "b").distinct()
-    side = lambda c, o: df.select(F.col(key).alias(c), F.col(words).alias(o))
-    return pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", tanimoto(F.col("_x"), F.col("_y")).alias("similarity")).where(F.col("similarity") >= cutoff)
+    """(a, b, similarity) of the pairs a < b at or over a cutoff above 0; keys are unique.
+
+    Bit counts of such a pair differ by the cutoff's ratio at most, so rows are put in bands of that ratio and meet their own band
+    and the next one. Bands are cut into pieces of PAIR_ROWS rows; a task compares two pieces by one product of bit matrices, and
+    only pairs over the cutoff come out. Rows without bits, and null ones, have no pairs.
+    """
+    if not 0 < cutoff <= 1:
+        raise ValueError("a cutoff is above 0 and at most 1")
+    bits = _bits(F.col(words), F.col(words), lambda x, y: x.bitwiseAND(y))
+    # a width a little over the ratio, so that rounding of logarithms loses no pair
+    width = max(math.log(1 / cutoff), 0.05) * (1 + 1e-9)
+    rows = df.select(F.col(key).alias("key"), F.col(words).alias("w"), bits.alias("n")).where("n > 0").withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    # a band for each power of the ratio
+    pieces = {r.band: -(-r.c // PAIR_ROWS) for r in rows.groupBy("band").agg(F.count("*").alias("c")).collect()}
+    if not pieces:
+        return df.sparkSession.createDataFrame([], f"a {dict(df.dtypes)[key]}, b {dict(df.dtypes)[key]}, similarity double")
+    of = lambda band: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i in pieces.items() for x in i]), band), F.lit(0))
+    own = rows.withColumn("piece", F.pmod(F.xxhash64("key"), of(F.col("band"))).cast("int"))
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    left = own.withColumn("to", F.explode(F.array("band", F.col("band") + 1))).withColumn("j", F.explode(up_to(of(F.col("to"))))).select("band", "to", F.col("piece").alias("i"), "j", "key", "w").where("band < to OR i <= j")
+    right = own.withColumnRenamed("band", "to").withColumn("band", F.explode(F.array("to", F.col("to") - 1))).withColumn("i", F.explode(up_to(of(F.col("band"))))).select("band", "to", "i", F.col("piece").alias("j"), "key", "w").where("band < to OR i <= j")
+    right = right.toDF(*right.columns)
+    kind = to_arrow_type(df.schema[key].dataType)
+    shape = pa.schema([("a", kind), ("b", kind), ("similarity", pa.float64())])
+
+    def compared(some: pa.Table, others: pa.Table) -> pa.Table:
+        if not some.num_rows or not others.num_rows:
+            return shape.empty_table()
+        same = some.column("band")[0] == some.column("to")[0] and some.column("i")[0] == some.column("j")[0]
+        ka, kb, found = some.column("key").combine_chunks(), others.column("key").combine_chunks(), []
+        y = _bit_matrix(others.column("w").combine_chunks())
+        ny = y.sum(axis=1)
+        for lo in range(0, some.num_rows, 512):
+            x = _bit_matrix(some.column("w").slice(lo, 512).combine_chunks())
+            both = (x @ y.T).astype(float)
+            share = both / (x.sum(axis=1)[:, None] + ny - both)
+            p, q = np.nonzero(share >= cutoff)
+            first, second = ka.take(pa.array(p + lo)), kb.take(pa.array(q))
+            less = pc.less(first, second)
+            if same:  # each pair stands twice
+                t = pa.table([first, second, share[p, q]], schema=shape).filter(less)
+            else:
+                t = pa.table([pc.if_else(less, first, second), pc.if_else(less, second, first), share[p, q]], schema=shape)
+            found.append(t)
+        return pa.concat_tables(found)
+
+    by = ["band", "to", "i", "j"]
+    key_type = dict(df.dtypes)[key]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compared, f"a {key_type}, b {key_type}, similarity double")
 
 
 #: Keys in a range that clusters_of_equal numbers by itself.

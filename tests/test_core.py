@@ -114,6 +114,22 @@ def test_pairs_match_all_pairs(spark):
     assert {(r.a, r.b) for r in vectors.tanimoto_pairs(words, "vec_id", "w", 0.5).collect()} == want
 
 
+def test_pairs_across_bands_and_pieces(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(vectors, "PAIR_ROWS", 7)
+    rng = random.Random(8)
+    bits = {f"k{i:02d}": {b for b in range(64) if rng.random() < rng.choice([0.05, 0.2, 0.5, 0.9])} for i in range(60)}
+    bits |= {"none": set(), "one": {3}, "same": bits["k00"] | {1}, "top": {31, 32, 63}}
+    rows = [(k, [sum(1 << (b % 32) for b in s if b // 32 == w) for w in (0, 1)]) for k, s in bits.items()] + [("null", None)]
+    df = spark.createDataFrame(rows, "k string, w array<bigint>").repartition(3)
+    for cutoff in (0.2, 0.5, 1.0):
+        want = {(a, b): len(bits[a] & bits[b]) / len(bits[a] | bits[b]) for a, b in itertools.combinations(sorted(bits), 2) if bits[a] | bits[b]}
+        got = vectors.tanimoto_pairs(df, "k", "w", cutoff).collect()
+        assert {(r.a, r.b): r.similarity for r in got} == {k: v for k, v in want.items() if v >= cutoff} and len(got) == len({(r.a, r.b) for r in got})
+    assert vectors.tanimoto_pairs(df.limit(0), "k", "w", 0.5).collect() == []
+
+
 def test_butina(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     edges = [(1, 2), (2, 3), (2, 4), (5, 6), (7, 8), (8, 9), (4, 5)]
