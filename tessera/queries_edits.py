@@ -12,7 +12,7 @@ from .operators import compare, edits, prices, vectors
 from .plans.query import Query
 from .plans.schema import Catalog, TableSpec
 from .queries import STATUS, add, simple
-from .sources import files
+from .sources import files, readers
 from .sources.datastore import Datastore
 from .sources.scratch import new_path
 
@@ -130,3 +130,12 @@ def _repartitioned(t) -> DataFrame:
 
 
 simple("several_files", "SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || md5(CAST(o_orderkey AS VARCHAR)))::UHUGEINT % 6 IN (1, 3)", lambda t: (lambda s: t.spark.read.option("basePath", f"{s.root}/live").parquet(*[f"{s.root}/live/chunk_key={k}" for k in (1, 3)]).select("o_orderkey", "o_totalprice"))(_store(t)))
+
+
+@add("synced_folder", "SELECT o_orderkey, o_orderstatus, TRUE AS whole FROM orders")
+def _synced(t) -> DataFrame:
+    """A partitioned table copied file by file to another folder; a second run copies nothing."""
+    root = new_path(t.spark, "synced")
+    t("orders").select("o_orderkey", "o_orderstatus").repartition(3).write.partitionBy("o_orderstatus").parquet(f"{root}/a")
+    first, again = readers.sync_folder(t.spark, f"{root}/a", f"{root}/b"), readers.sync_folder(t.spark, f"{root}/a", f"{root}/b")
+    return t.spark.read.parquet(f"{root}/b").select("o_orderkey", "o_orderstatus", F.lit(first > 0 and again == 0).alias("whole"))

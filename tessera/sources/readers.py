@@ -267,3 +267,45 @@ def write_archives(df: DataFrame, path: str, name: str, body: str, kind: str = "
 
     rows = df.where(F.col(name).isNotNull()).select(F.col(name).cast("string"), F.col(body).cast("binary"))
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def sync_folder(spark: SparkSession, source: str, target: str) -> int:
+    """Copies the files under source that target lacks, or has with another size or an older date; returns how many were copied.
+
+    Both are listed and compared as tables, and tasks copy the files, each beside and renamed when it is whole. Nothing is deleted.
+    """
+    hadoop, where = file_system(spark, target)
+    hadoop.mkdirs(where(target))
+
+    def listed(path: str, suffix: str) -> DataFrame:
+        base = _opened(path)[1].rstrip("/")
+        rows = list_files(spark, path).where(~F.col("name").endswith(".partial"))
+        return rows.select(F.expr(f"substring(path, {len(base) + 2})").alias("file"), F.col("size").alias(f"size{suffix}"), F.col("modified").alias(f"modified{suffix}"))
+
+    both = listed(source, "").join(listed(target, "_there"), "file", "left")
+    todo = both.where("size_there IS NULL OR size_there <> size OR modified_there < modified").select("file")
+
+    def copy(batches):
+        (a, from_), (b, to) = _opened(source), _opened(target)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                at = f"{to.rstrip('/')}/{name}"
+                b.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with a.open_input_stream(f"{from_.rstrip('/')}/{name}") as i, b.open_output_stream(f"{at}.partial") as o:
+                    while data := i.read(8 << 20):
+                        o.write(data)
+                b.move(f"{at}.partial", at)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    return todo.repartition(tasks, "file").mapInArrow(copy, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def export_and_sync(df: DataFrame, spec, folder: str, target: str, kind: str = "parquet", columns: str | list[str] = "full") -> str:
+    """Writes a dated archive in a folder, copies it to another store, and returns where it is there."""
+    from .files import archive
+
+    path = archive(df, spec, folder, kind, columns)
+    there = f"{target.rstrip('/')}/{path.rsplit('/', 1)[1]}"
+    sync_folder(df.sparkSession, path, there)
+    return there

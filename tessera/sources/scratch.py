@@ -19,8 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this session has put in the shared folder; call it once the results are written."""
+    for owner, path in [x for x in _made if x[0] is spark]:
+        delete(spark, path)
+        _made.remove((owner, path))
 
 
 def file_system(spark: SparkSession, root: str):

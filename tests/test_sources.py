@@ -140,3 +140,31 @@ def test_jdbc_queries(spark):
     spark.range(50).select(F.col("id"), (F.col("id") * 2).alias("v")).write.jdbc(url, "things", "overwrite", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     got = files.read_jdbc(spark, url, 'SELECT * FROM things WHERE "id" >= 45', fetch=10, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert sorted(tuple(r) for r in got.collect()) == [(i, 2 * i) for i in range(45, 50)]
+
+
+def test_folders_are_synced(spark, tmp_path):
+    from tessera.plans.schema import TableSpec
+
+    for name in ("a.bin", "d/b.bin", "d/e/c c+%.bin"):
+        (tmp_path / "from" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "from" / name).write_bytes(name.encode() * 1000)
+    source, target = f"file://{tmp_path}/from", f"file://{tmp_path}/to"
+    assert readers.sync_folder(spark, source, target) == 3 and readers.sync_folder(spark, source, target) == 0
+    (tmp_path / "from/d/b.bin").write_bytes(b"other")
+    (tmp_path / "to/own.bin").write_bytes(b"kept")
+    assert readers.sync_folder(spark, source, target) == 1
+    assert (tmp_path / "to/d/b.bin").read_bytes() == b"other" and (tmp_path / "to/own.bin").exists() and (tmp_path / "to/d/e/c c+%.bin").stat().st_size == 13_000
+    there = readers.export_and_sync(spark.range(7), TableSpec("t", "id"), f"file://{tmp_path}/out", f"file://{tmp_path}/store")
+    assert spark.read.parquet(there).count() == 7
+
+
+def test_release(spark):
+    from tessera.sources import scratch
+
+    path = scratch.new_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    mine = [x for x in scratch._made if x[1] != path]
+    scratch._made[:] = [x for x in scratch._made if x[1] == path]
+    scratch.release(spark)
+    scratch._made[:] = mine
+    assert scratch.names(spark, path) == []
