@@ -13,8 +13,10 @@ from . import common
 
 #: A tile compares at most so many queries with so many rows; one side of a tile is all that a task holds of a table.
 TILE_QUERIES, TILE_ROWS = 2048, 16384
-#: Rows and queries of one matrix product inside a tile, and pairs recomputed at once.
-PRODUCT_QUERIES, PRODUCT_ROWS, PAIRS = 256, 4096, 1 << 16
+#: Bytes of either side of a tile, as doubles: wide vectors have fewer rows in it.
+TILE_BYTES = 64 << 20
+#: Rows and queries of one matrix product inside a tile, and bytes of the pairs recomputed at once.
+PRODUCT_QUERIES, PRODUCT_ROWS, PAIR_BYTES = 256, 4096, 32 << 20
 #: Bytes of original vectors in a packed block.
 BLOCK_BYTES = 1 << 20
 
@@ -96,8 +98,9 @@ class Tile:
             bar = np.maximum(bar, np.partition(about, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
         x, y = np.nonzero((most >= bar[:, None]) & (most > -np.inf))
         x += q.start
-        for lo in range(0, len(x), PAIRS):
-            self._recompute(x[lo : lo + PAIRS], y[lo : lo + PAIRS], ids, rows)
+        step = max(64, PAIR_BYTES // (8 * rows.shape[1]))
+        for lo in range(0, len(x), step):
+            self._recompute(x[lo : lo + step], y[lo : lo + step], ids, rows)
 
     def _recompute(self, x: np.ndarray, y: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         with np.errstate(over="ignore", invalid="ignore"):
@@ -161,11 +164,12 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _numbered(blocks: DataFrame, rows: str, most: int) -> DataFrame:
-    """blocks with tile: consecutive blocks of one length and about most rows share one; ranges of blocks are totalled first."""
+    """blocks with tile: consecutive blocks of one length and about most rows (fewer wide ones) share one; ranges of blocks are totalled first."""
     sized = blocks.withColumn("_range", F.pmod(F.xxhash64("ids"), F.lit(1 << 12)))
     totals = sized.groupBy("dims", "_range").agg(F.sum(rows).alias("_t"))
     before = totals.select("dims", "_range", F.coalesce(F.sum("_t").over(Window.partitionBy("dims").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    own = F.coalesce(F.sum(rows).over(Window.partitionBy("dims", "_range").orderBy(F.xxhash64("ids", "vectors")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = F.least(F.lit(most), F.greatest(F.lit(64), F.floor(F.lit(TILE_BYTES) / (8 * F.col("dims")))))
+    own = F.coalesce(F.sum(rows).over(Window.partitionBy("dims", "_range").orderBy(F.xxhash64("ids"), "ids").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return sized.join(before, ["dims", "_range"]).withColumn("tile", F.floor((F.col("_o") + own) / most)).drop("_range", "_o")
 
 

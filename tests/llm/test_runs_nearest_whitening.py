@@ -92,6 +92,8 @@ def test_nearest(spark, monkeypatch, kind):
     monkeypatch.setattr(nearest, "PRODUCT_ROWS", 16)
     monkeypatch.setattr(nearest, "PRODUCT_QUERIES", 3)
     monkeypatch.setattr(nearest, "BLOCK_BYTES", 800)
+    monkeypatch.setattr(nearest, "TILE_BYTES", 64 * 70 if kind == "float" else 64 << 20)
+    monkeypatch.setattr(nearest, "PAIR_BYTES", 1)
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(120, 9)).astype("f4").astype(float).tolist()
     rows = list(enumerate(vectors))
