@@ -84,3 +84,43 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how:
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
+def salted_outer_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "full") -> DataFrame:
+    """A right or full equi-join (small is the right side) whose hot keys are spread over salts partitions.
+
+    Rows with a partner, and for a full join those of big without one, come from salted_join; the rows of small without one are joined
+    against big's distinct keys, once each.
+    """
+    if how not in ("right", "full"):
+        raise ValueError(f"{how} joins are salted_join's")
+    met = salted_join(big, small, on, salts, "inner" if how == "right" else "left")
+    alone = small.join(big.select(on).distinct(), on, "left_anti")
+    return met.unionByName(alone, allowMissingColumns=True)
+
+
+#: Values up to which a list of values is written into the plan.
+LISTED = 1000
+
+
+def in_values(df: DataFrame, column: str, wanted: list | DataFrame, inverse: bool = False, most: int = 32 << 20) -> DataFrame:
+    """Rows whose column has one of the values, or with inverse none of them; no values give no rows, or all.
+
+    wanted is a list or a frame of one column. A list of up to LISTED values is a predicate that reaches the scan; others are semi-joins,
+    broadcast if the measured values take up to most bytes. Nulls are in no list: a row whose column is null is neither in it nor, unless the list is empty, outside.
+    """
+    if isinstance(wanted, list):
+        values = [v for v in dict.fromkeys(wanted) if v is not None]
+        if not values:
+            return df if inverse else df.where(F.lit(False))
+        if len(values) <= LISTED:
+            test = F.col(column).isin(values)
+            return df.where(~test if inverse else test)
+        wanted = df.sparkSession.createDataFrame([(v,) for v in values], f"value {dict(df.dtypes)[column]}")
+    keys = wanted.select(F.col(f"`{wanted.columns[0]}`").alias("_wanted")).where("_wanted IS NOT NULL").distinct()
+    size = keys.agg(F.coalesce(F.sum(F.length(F.col("_wanted").cast("string")) + 16), F.lit(0))).first()[0]
+    if not size:
+        return df if inverse else df.where(F.lit(False))
+    side = F.broadcast(keys) if size <= most else keys
+    found = df.join(side, F.col(column) == F.col("_wanted"), "left_anti" if inverse else "left_semi")
+    return found.where(F.col(column).isNotNull()) if inverse else found

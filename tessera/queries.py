@@ -131,7 +131,7 @@ simple("price_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity
 
 # series and windows
 
-simple("best_so_far", "SELECT event_id FROM (SELECT event_id, value, min(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR value < m", lambda t: series.best_so_far(t("events"), "value", ["ts", "event_id"], ["event_type"]).select("event_id"))
+simple("best_so_far", "SELECT event_id FROM (SELECT event_id, value, min(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events) WHERE m IS NULL OR value < m", lambda t: series.best_so_far(t("events"), "value", ["ts", "event_id"], ["event_type"], series.micros("ts")).select("event_id"))
 simple("since_best", "WITH b AS (SELECT event_type, min((value, ts)) AS m FROM events GROUP BY 1) SELECT e.event_type, count_if(e.value > m[1] + 0.001 AND e.ts >= m[2])::BIGINT AS since FROM events e JOIN b USING (event_type) GROUP BY 1", lambda t: series.since_best(t("events"), "value", "ts", ["event_type"]))
 simple("as_of_forward", "WITH f AS (SELECT user_id, min((ts, value)) AS m FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1) SELECT user_id, round(m[2], 6) AS base_price FROM f WHERE m[1] < TIMESTAMP '2024-01-10' + INTERVAL 5 DAY", lambda t: series.as_of_forward(t("events"), "user_id", "ts", "value", F.lit("2024-01-10").cast("timestamp"), 5).select("user_id", F.round("base_price", 6).alias("base_price")))
 simple("as_of_join", "SELECT c.event_id, p.value AS as_of_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2) p ON c.user_id = p.user_id AND c.ts >= p.ts", lambda t: series.as_of(t("events").where("event_type = 'click'"), t("events").where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("value").alias("value")), ["user_id"], "ts", "value").select("event_id", "as_of_value"))
@@ -247,4 +247,4 @@ def _pca(t) -> DataFrame:
     rows = t("embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("place"))
 
-from . import queries_edits, queries_stores, queries_tables, queries_values  # noqa: E402, F401
+from . import queries_edits, queries_estimates, queries_stores, queries_tables, queries_values  # noqa: E402, F401
