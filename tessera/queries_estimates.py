@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .operators import centres, compositions, ledgers, relations, vectors
-from .queries import simple
+from .queries import add, simple
+from .sources import runs
+from .sources.scratch import new_path
 
 # compositions: three parts for each row of part, in expressions that both sides read
 
@@ -92,3 +95,17 @@ simple("salted_full_join", "SELECT l_suppkey, l_orderkey, l_linenumber, p_partke
 simple("salted_right_join", "SELECT p_partkey, count(l_orderkey) AS n FROM lineitem RIGHT JOIN part ON l_suppkey = p_partkey GROUP BY 1", lambda t: relations.salted_outer_join(t("lineitem").select(F.col("l_suppkey").alias("k"), "l_orderkey"), t("part").select(F.col("p_partkey").alias("k"), "p_partkey"), "k", 8, "right").groupBy("p_partkey").agg(F.count("l_orderkey").alias("n")))
 simple("in_many_values", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)", lambda t: relations.in_values(t("orders"), "o_orderkey", t("lineitem").where("l_quantity > 25").select("l_orderkey")).select("o_orderkey"))
 simple("not_in_many_values", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)", lambda t: relations.in_values(t("orders"), "o_orderkey", t("lineitem").where("l_quantity > 25").select("l_orderkey"), inverse=True).select("o_orderkey"))
+
+# runs: suppliers as folders and archives of runs, some of them failed
+
+
+@add("run_folders", """SELECT concat('w-task-', s_suppkey) AS run, s_suppkey % 2 = 0 AS archived, CASE WHEN s_suppkey % 7 <> 1 AND s_suppkey % 5 <> 2 THEN s_name END AS source, CASE WHEN s_suppkey % 11 NOT IN (3, 4) THEN s_acctbal END AS energy,
+CASE WHEN s_suppkey % 7 = 1 THEN 'no metadata' WHEN s_suppkey % 5 = 2 THEN 'no source' WHEN s_suppkey % 11 = 3 THEN 'no results' WHEN s_suppkey % 11 = 4 THEN 'broken results' END AS failure FROM supplier""")
+def _run_folders(t) -> DataFrame:
+    root, k = new_path(t.spark, "runs"), F.col("s_suppkey")
+    meta = F.concat_ws("\n", F.lit("workflow: relaxation"), F.concat(F.lit("run_id: '"), k.cast("string"), F.lit("'")), F.concat(F.lit("source: "), F.when(k % 5 == 2, "").otherwise(F.col("s_name"))))
+    made = t("supplier").select(F.concat(F.lit("w-task-"), k.cast("string")).alias("run"), (k % 2 == 0).alias("archived"), F.when(k % 7 != 1, meta).alias("meta"), F.when(k % 11 == 4, "{broken").when(k % 11 != 3, F.to_json(F.struct(F.col("s_acctbal").alias("energy")))).alias("results"))
+    # runs with neither file have no row: every failed one keeps one of them
+    made = made.withColumn("results", F.when(F.col("meta").isNull() & F.col("results").isNull(), "{}").otherwise(F.col("results")))
+    runs.write_runs(made, root, "run", "meta", "results", "archived")
+    return runs.read_runs(t.spark, root, T.StructType([T.StructField("energy", T.DoubleType())])).select("run", "archived", "source", "energy", "failure")
