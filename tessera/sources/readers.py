@@ -44,13 +44,21 @@ class Members(InputPartition):
     members: list[tuple[str, int, int]] | None
 
 
+@dataclass
+class MemberRuns(InputPartition):
+    """What one task reads: runs of members, of one archive or of several small ones."""
+
+    runs: list[Members]
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, most: int):
         self.path, self.most = path, most
 
-    def partitions(self) -> list[Members]:
-        """Members in runs of about so many bytes: those of zip and plain tar archives by their directory or headers."""
-        store, out = _opened(self.path)[0], []
+    def partitions(self) -> list[MemberRuns]:
+        """Members in runs of about so many bytes: those of zip and plain tar archives by their directory or headers; small archives
+        share a task, compressed tars have one each."""
+        store, out, tasks, filled = _opened(self.path)[0], [], [], 0
         for archive, *_ in _files(self.path, (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tar.xz")):
             if not archive.endswith((".zip", ".tar")):
                 out.append(Members(archive, self.path, None))
@@ -69,11 +77,20 @@ class ArchiveReader(DataSourceReader):
                 size += m[2]
             if run:
                 out.append(Members(archive, self.path, run))
-        return out or [Members("", self.path, [])]
-
-    def read(self, partition: Members) -> Iterator[tuple]:
-        if not partition.archive:
-            return
+        for x in out:
+            size = self.most if x.members is None else sum(m[2] for m in x.members)
+            if not tasks or filled + size > self.most:
+                tasks.append(MemberRuns([]))
+                filled = 0
+            tasks[-1].runs.append(x)
+            filled += size
+        return tasks or [MemberRuns([])]
+
+    def read(self, partition: MemberRuns) -> Iterator[tuple]:
+        for run in partition.runs:
+            yield from self._members(run)
+
+    def _members(self, partition: Members) -> Iterator[tuple]:
         store = _opened(partition.root)[0]
         with store.open_input_file(partition.archive) as f:
             if partition.members is None:
