@@ -416,3 +416,19 @@ def test_pii_numbers_side_by_side():
         ("+12 1234567890123456789", []),
     ]:
         assert pii.find_spans(t, cues) == want, t
+
+
+def test_dedup_lines_long_lines_may_have_many_edits(spark):
+    """90% holds at any length: 3300 edits in 34,000 characters are near, 3500 are not; common ends of long lines are cut exactly."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(34000))
+    signs = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(n))
+    other = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(34000))
+    table = [(1, base), (2, base[:15000] + signs(3300) + base[18300:]), (3, other), (4, other[:15000] + signs(3500) + other[18500:])]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+    pairs = [("abcabc", "abc"), ("abc", "abcabc"), ("aaaa", "aa"), ("aéxb", "aéyb"), ("kitten", "sitting"), ("same", "same"), ("x", "y"), ("日本語日本", "日本")]
+    pairs = [(a * 400, b * 400, len(a) * 400, len(b) * 400) for a, b in pairs] + [("q" * 1500 + a + "é" * 1500, "q" * 1500 + b + "é" * 1500, 3000 + len(a), 3000 + len(b)) for a, b in pairs]
+    frame = spark.createDataFrame(pairs, "norm_a string, norm_b string, size_a int, size_b int")
+    cut = lines.trimmed(frame.withColumn("d", F.levenshtein("norm_a", "norm_b"))).select("d", F.levenshtein("norm_a", "norm_b").alias("e"), F.length("norm_a").alias("n"), "size_a").collect()
+    assert all(r.d == r.e for r in cut) and sum(r.n < r.size_a for r in cut) >= 8
