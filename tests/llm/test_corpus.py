@@ -432,3 +432,25 @@ def test_dedup_lines_long_lines_may_have_many_edits(spark):
     frame = spark.createDataFrame(pairs, "norm_a string, norm_b string, size_a int, size_b int")
     cut = lines.trimmed(frame.withColumn("d", F.levenshtein("norm_a", "norm_b"))).select("d", F.levenshtein("norm_a", "norm_b").alias("e"), F.length("norm_a").alias("n"), "size_a").collect()
     assert all(r.d == r.e for r in cut) and sum(r.n < r.size_a for r in cut) >= 8
+
+
+def test_dedup_lines_bounds_and_samples(spark):
+    """Pieces of long lines give an upper bound of their edits that is close for near lines; sketches of long lines are drawn from a part of
+    their grams, and few different grams are enough."""
+    rng = random.Random(3)
+    parts = ["th", "er", "on", "tion", "é", " "]
+
+    def changed(x, share):
+        y = list(x)
+        for p in rng.sample(range(len(y)), int(len(y) * share)):
+            y[p] = rng.choice(["", "q", y[p] + "z"])
+        return "".join(y)
+
+    bases = ["".join(rng.choice(parts) for _ in range(n)) + "x" for n in (600, 2500) for _ in range(3)]
+    pairs = [(x, changed(x, share)) for x in bases for share in (0.002, 0.03, 0.3)] + [("ab" * 600, "ba" * 600), ("q" * 1200, "q" * 1100)]
+    frame = spark.createDataFrame(pairs, "a string, b string").select(lines.pieces_bound(F.col("a"), F.col("b")).alias("bound"), F.levenshtein("a", "b").alias("d"), F.length("a").alias("n")).collect()
+    assert all(r.bound >= r.d for r in frame) and sum(r.bound <= r.d + r.n // 100 for r in frame) >= 12
+    odd = [("ha ha " * 100)[:-1], "abcdefghij " * 60, "no " * 300 + "yes"]
+    table = [(2 * i, t) for i, t in enumerate(odd)] + [(2 * i + 1, t[:200] + "zz" + t[203:]) for i, t in enumerate(odd)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
