@@ -454,3 +454,21 @@ def test_dedup_lines_bounds_and_samples(spark):
     table = [(2 * i, t) for i, t in enumerate(odd)] + [(2 * i + 1, t[:200] + "zz" + t[203:]) for i, t in enumerate(odd)]
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
+
+
+def test_dedup_lines_bounds_spare_comparisons(spark):
+    """Letters give a lower bound of the edits; pieces find their way again after a long insertion, and one of them may be replaced."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("etaoin shrdlué日") for _ in range(n))
+    base = prose(6000)
+    pairs = [(base, base[:2000] + prose(500) + base[2000:]), (base, base[:3000] + base[3400:]), (base, base[:1000] + prose(90) + base[1090:]), ("kitten", "sitting"), ("", "abc"), ("eee", "tttt"), (prose(300), prose(280))]
+    frame = spark.createDataFrame(pairs, "a string, b string")
+    most = (F.greatest(F.length("a"), F.length("b")) / 10).cast("int")
+    bounds = [lines.least_edits(lines.spelling(F.col("a")), lines.spelling(F.col("b")), F.length("a"), F.length("b")).alias("least"), lines.pieces_bound(F.col("a"), F.col("b"), most).alias("bound")]
+    got = frame.select(*bounds, F.levenshtein("a", "b").alias("d"), most.alias("most")).collect()
+    assert all(r.least <= r.d and (r.bound >= r.d or r.d > r.most) for r in got)
+    assert all(r.bound <= r.most for r in got[:3]) and got[5].least == 4 and got[4].least == 3
+    # a lower bound beyond the edits allowed ends the comparison
+    texts = spark.createDataFrame([(1, "e" * 50, 50), (2, "t" * 50, 50), (3, "e" * 49 + "t", 50)], "id long, norm string, size int")
+    left = lines._edits(spark.createDataFrame([(2, 1), (3, 1)], "a long, b long"), texts).collect()
+    assert [(r.a, r.b, r.edits) for r in left] == [(3, 1, 1)]
