@@ -125,7 +125,8 @@ class Query:
         return self._with(self.df.withColumns({c: F.when(test, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}))
 
     def from_config(self, config: dict, depth: int | None = None) -> Query:
-        """A query from {filters, order_by, limit, page, page_size, paginate}: named filters first, the rest together."""
+        """A query from {filters, order_by, limit, page, page_size, paginate}: named filters first, the rest together. Pages are cut
+        from the first LIMIT rows unless a limit is given; without pages all rows come, or as many as a given limit says."""
         query, plain = self, {}
         filters = config.get("filters", {})
         arguments = {p for f in self.named.values() for p in list(inspect.signature(f).parameters)[1:]}
@@ -144,7 +145,7 @@ class Query:
             query = query.order_by(*([order] if isinstance(order, str) else order))
         paginate = config.get("paginate", True)
         query = query if query.ordered or not paginate else query.order_by("-" + self.spec.key)
-        query = query.limit(config.get("limit", LIMIT))
+        query = query.limit(config.get("limit", LIMIT if paginate else None))
         return query.page(config.get("page", 1), config.get("page_size", PAGE_SIZE)) if paginate else query
 
     def from_url(self, url: str) -> Query:

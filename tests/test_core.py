@@ -55,6 +55,14 @@ def test_pages(shop):
     assert form_filters({"id__in": "1, 2\n3", "a": "", "b": "k", "csrf": "q"}, ("csrf",)) == {"id__in": ["1", "2", "3"], "b": "k"}
 
 
+def test_only_pages_have_a_limit_of_their_own(spark):
+    many = Query(Catalog([TableSpec("many", "id")], lambda _: spark.range(10_050)), "many")
+    assert many.from_config({"filters": {"id__gte": 0}, "paginate": False}).df.count() == 10_050
+    assert many.from_config({"filters": {"id__gte": 0}, "paginate": False, "limit": 7}).df.count() == 7
+    # the last page is that of the first 10,000 rows
+    assert ids(many.from_config({"filters": {"id__gte": 0}, "page": 999, "page_size": 5_000})) == list(range(5_049, 49, -1))
+
+
 def test_frame_mode_and_fallback(shop):
     df = shop.read("kind")
     assert frame_filter(df, name__contains="^x$").count() == 1 and frame_filter(df, k_id__what=1).count() == 1
