@@ -78,12 +78,15 @@ def in_given_order(df: DataFrame, ids: list, key: str) -> DataFrame:
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """An inner or left equi-join whose hot keys are spread over salts partitions; small is repeated once for each salt."""
+    """An inner or left equi-join whose hot keys are spread over salts partitions; small is repeated once for each salt.
+
+    Both sides are shuffled: Spark's estimate of small, from its compressed files, would broadcast tables whose repeated rows don't fit the driver.
+    """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"small's rows are repeated, so a {how} join would repeat those without a partner")
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [on, "_salt"], how).drop("_salt")
 
 
 def salted_outer_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16, how: str = "full") -> DataFrame:
@@ -95,7 +98,7 @@ def salted_outer_join(big: DataFrame, small: DataFrame, on: str, salts: int = 16
     if how not in ("right", "full"):
         raise ValueError(f"{how} joins are salted_join's")
     met = salted_join(big, small, on, salts, "inner" if how == "right" else "left")
-    alone = small.join(big.select(on).distinct(), on, "left_anti")
+    alone = small.join(big.select(on).distinct().hint("merge"), on, "left_anti")
     return met.unionByName(alone, allowMissingColumns=True)
 
 

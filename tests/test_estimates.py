@@ -169,6 +169,15 @@ def test_outer_joins_beyond_hot_keys(spark):
         relations.salted_outer_join(big, small, "k", 4, "cross")
 
 
+def test_salted_joins_send_no_side_to_the_driver(spark):
+    # both sides are small enough for Spark to broadcast them by its own estimate
+    big, small = spark.range(1000).selectExpr("id % 7 AS k", "id AS x"), spark.range(10).selectExpr("id AS k", "-id AS y")
+    for df, n in ((relations.salted_join(big, small, "k", 4), 1000), (relations.salted_join(big, small, "k", 4, "left"), 1000), (relations.salted_outer_join(big, small, "k", 4, "right"), 1003), (relations.salted_outer_join(big, small, "k", 4, "full"), 1003)):
+        assert df.count() == n
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_in_values(spark):
     df = spark.createDataFrame([(i,) for i in range(10)] + [(None,)], "x long")
     ids = lambda d: sorted(r.x for r in d.collect() if r.x is not None)
