@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.scratch import Stage
+
 #: Measured bytes up to which a side is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -188,33 +190,98 @@ def search_cells(indexed: DataFrame, model, vector: str, query: list[float], key
     return top_k(indexed.where(F.col("cell").isin(near)), key, METRICS["l2"](F.col(vector), q), k)
 
 
+#: Rows, and queries, that a task of nearest_in_cells compares.
+CELL_ROWS, CELL_QUERIES = 1 << 14, 1 << 11
+
+
+def rows_of(column: pa.ListArray) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+
+def _nearest_of_block(x: np.ndarray, q: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) by l2 of the k nearest rows of x for each row of q, but rows marked as the same; the first of equal ones count.
+
+    A product of matrices chooses the rows that can be among them, with an allowance for rounding; their distances are sums in the order
+    of the dimensions, as METRICS has them.
+    """
+    squares, own = (x**2).sum(axis=1), (q**2).sum(axis=1)[:, None]
+    about = own - 2 * (q @ x.T) + squares
+    about[same] = np.inf
+    bound = np.partition(about, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    # written so that what isn't a number is compared, too
+    p, j = np.nonzero(~(about > (bound + 1e-9 * (own[:, 0] + squares.max()))[:, None]) & ~same)
+    d = np.concatenate([np.empty(0), *[np.sqrt(np.cumsum((x[j[lo : lo + 32768]] - q[p[lo : lo + 32768]]) ** 2, axis=1)[:, -1]) for lo in range(0, len(p), 32768)]])
+    order = np.lexsort((j, d, p))
+    p, j, d = p[order], j[order], d[order]
+    take = np.arange(len(p)) - np.searchsorted(p, p) < k
+    return p[take], j[take], d[take]
+
+
+def nearest_in_cells(rows: DataFrame, plan: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query_id, key, distance): for each query the k nearest rows by l2, its own key excepted, of the cells that it reads.
+
+    rows has cell, key and vector (of one length, null ones are left out), plan query_id, _q and cell: a row for each cell that a query reads.
+    The rows and queries of a cell are cut into pieces of CELL_ROWS and CELL_QUERIES; a task compares two pieces by a product of
+    matrices, and only the k best of each come out.
+    """
+    rows, plan = rows.where(F.col(vector).isNotNull()), plan.where("_q IS NOT NULL")
+    # one number for each cell
+    pieces = lambda df, n: {r.cell: -(-r.n // n) for r in df.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    has, asks = pieces(rows, CELL_ROWS), pieces(plan, CELL_QUERIES)
+    of = lambda found: F.coalesce(F.create_map(*[F.lit(x) for i in found.items() for x in i])[F.col("cell")] if found else F.lit(None), F.lit(1))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where(F.col("cell").isin(list(asks))).select("cell", F.col(key).alias("_k"), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), of(has)).cast("int").alias("_i"), spread(of(asks)).alias("_j"))
+    right = plan.select("cell", "query_id", "_q", F.pmod(F.xxhash64("query_id"), of(asks)).cast("int").alias("_j"), spread(of(has)).alias("_i"))
+    right = right.toDF(*right.columns)
+    shape = pa.schema([("query_id", to_arrow_type(plan.schema["query_id"].dataType)), (key, to_arrow_type(rows.schema[key].dataType)), ("distance", pa.float64())])
+
+    def best(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if not some.num_rows or not asked.num_rows:
+            return shape.empty_table()
+        some = some.take(pc.sort_indices(some, [("_k", "ascending")]))  # of equal rows the least key comes first
+        keys, who = some.column("_k").combine_chunks(), asked.column("query_id").combine_chunks()
+        x, q, out = rows_of(some.column("_v").combine_chunks()), rows_of(asked.column("_q").combine_chunks()), []
+        ids, asks = keys.to_numpy(zero_copy_only=False), who.to_numpy(zero_copy_only=False)
+        for lo in range(0, len(q), 64):
+            p, j, d = _nearest_of_block(x, q[lo : lo + 64], asks[lo : lo + 64, None] == ids, k)
+            out.append(pa.table([who.take(pa.array(p + lo)), keys.take(pa.array(j)), d], schema=shape))
+        return pa.concat_tables(out)
+
+    by = ["cell", "_i", "_j"]
+    names = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for df, c in ((plan, "query_id"), (rows, key)))
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(best, f"{names}, distance double")
+
+
+def ranked(found: DataFrame, key: str, k: int) -> DataFrame:
+    """The k nearest of each query with their rank; of equal distances the smaller key comes first."""
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
+
+
+def search_exactly(base: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """(query_id, key, distance, rank): the result of nearest_queries by l2 for many queries, compared block by block."""
+    plan = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"), F.lit(0).alias("cell"))
+    return ranked(nearest_in_cells(base.select(F.lit(0).alias("cell"), key, vector), plan, key, vector, k), key, k)
+
+
 def search_cells_exactly(indexed: DataFrame, queries: DataFrame, model, vector: str, key: str, k: int, probes: int) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest rows of indexed for each query but itself, as nearest_queries by l2 has them.
 
     Each query is joined with the rows of its nearest cells (probes of them), then with those of further cells that can hold a
     nearer row: a row is at least as far as its cell's centre, less the cell's radius. A query with fewer than k rows so far
-    reads all cells. Queries and cells are a stated, small set.
+    reads all cells. The rows with their cells, and what the first cells gave, are written to the shared folder, as both are read more than once.
     """
+    stage = Stage(indexed.sparkSession, "cells")
+    indexed = stage(indexed.select("cell", key, vector))
     centres = [[float(x) for x in c] for c in model.clusterCenters()]
     cells = indexed.sparkSession.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>")
     radii = indexed.join(F.broadcast(cells), "cell").groupBy("cell").agg(F.max(METRICS["l2"](F.col(vector), F.col("centre"))).alias("radius"))
     asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
     away = asked.crossJoin(F.broadcast(cells.join(radii, "cell"))).select("query_id", "_q", "cell", "radius", METRICS["l2"](F.col("_q"), F.col("centre")).alias("away"))
     plan = away.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("away", "cell")))
-    by = Window.partitionBy("query_id").orderBy("distance", key)
-
-    def scored(some: DataFrame) -> DataFrame:
-        # measured, as the queries may be a share of a large table
-        size = some.agg(F.coalesce(F.sum(F.size("_q") * 8 + 32), F.lit(0))).first()[0]
-        some = some.select("query_id", "_q", "cell")
-        met = indexed.select("cell", key, vector).join(F.broadcast(some) if size <= BROADCAST_BYTES else some, "cell").where(F.col(key) != F.col("query_id"))
-        return met.select("query_id", key, METRICS["l2"](F.col(vector), F.col("_q")).alias("distance"))
-
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
-
-    first = best(scored(plan.where(F.col("place") <= probes)))
+    first = stage(ranked(nearest_in_cells(indexed, plan.where(F.col("place") <= probes), key, vector, k), key, k))
     bound = first.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
     # the allowance is for rounding; equal distances count, as the key decides between them
     further = plan.where(F.col("place") > probes).join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("away") - F.col("radius") <= F.col("bound") * (1 + 1e-9) + 1e-9))
-    return best(first.drop("rank").unionByName(scored(further)))
+    return ranked(first.drop("rank").unionByName(nearest_in_cells(indexed, further, key, vector, k)), key, k)

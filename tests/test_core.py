@@ -188,6 +188,29 @@ def test_partitioned_search_is_whole(spark):
     assert want and len(got & want) >= 0.9 * len(want) and got == want
 
 
+def test_searches_by_blocks(spark, monkeypatch):
+    import random
+
+    from tessera import queries
+
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    monkeypatch.setattr(vectors, "CELL_QUERIES", 3)
+    rng = random.Random(2)
+    # a vector that stands 60 times, others by chance, far ones, and one that is null
+    rows = [(i, [1.0, 2.0, 0.5] if i % 4 == 0 else [rng.gauss(0, 1) for _ in range(3)] if i % 9 else [1e6 + i, 0.0, -1e6]) for i in range(240)] + [(900, None)]
+    base = spark.createDataFrame(rows, "id long, v array<float>")
+    asked = base.where("id % 20 = 0 OR id % 7 = 1")
+    sort = lambda df: sorted((r.query_id, r["rank"], r.id, r.distance) for r in df.collect())
+    want = sort(vectors.nearest_queries(base.where("v IS NOT NULL"), asked.where("v IS NOT NULL"), "id", "v", "l2", 7))
+    assert sort(vectors.search_exactly(base, asked, "id", "v", 7)) == want and len(want) > 300
+    few = base.where("id < 4")
+    assert sort(vectors.search_exactly(few, few, "id", "v", 7)) == sort(vectors.nearest_queries(few, few, "id", "v", "l2", 7)) != []
+    assert vectors.search_exactly(base, asked.limit(0), "id", "v", 7).count() == 0
+    # the pairs are compared inside tasks, not joined as rows
+    plan = queries.QUERIES["partitioned_search"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+
+
 def test_equal_groups_are_numbered_across_ranges(spark):
     from tessera.operators import vectors
 
