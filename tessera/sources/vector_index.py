@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import CHUNK_SIZE
-from ..operators.vectors import METRICS, nearest_queries
+from ..operators import vectors
+from ..operators.vectors import METRICS, rows_of
 from .datastore import Datastore
-from .scratch import file_system, names
+from .scratch import Stage, file_system, names
 
 #: Codes of a cell, and queries, that one task compares.
 PIECE_ROWS, PIECE_QUERIES = 1 << 17, 1 << 10
@@ -58,12 +59,6 @@ def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
 
 
-def rows_of(column: pa.ListArray) -> np.ndarray:
-    """An Arrow column of equally long lists as a matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
-
-
 class Codebook:
     """Cell centres and, for each part of a vector, the centres that its codes stand for."""
 
@@ -268,15 +263,33 @@ class VectorIndex:
 
     def search_exactly(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, datastore_id, distance) by comparing every query with every row; the index isn't used."""
-        base, asked = (x.select("datastore_id", self.spec.vector).where(F.col(self.spec.vector).isNotNull()) for x in (self.store.df, queries))
-        found = nearest_queries(base, asked, "datastore_id", self.spec.vector, "l2", k)
+        found = vectors.search_exactly(self.store.df, queries, "datastore_id", self.spec.vector, k)
         return found.select("query_id", "rank", "datastore_id", "distance")
 
     def recall(self, queries: DataFrame, k: int, **how: int) -> float:
         """The share of the true k nearest rows that search finds, over all queries."""
-        true, found = self.search_exactly(queries, k), self.search(queries, k, **how)
-        both = true.join(found.select("query_id", "datastore_id").withColumn("_hit", F.lit(1)), ["query_id", "datastore_id"], "left")
-        return both.agg(F.coalesce(F.count("_hit") / F.count("*"), F.lit(1.0))).first()[0]
+        return _shared(self.search_exactly(queries, k), self.search(queries, k, **how))[0]
+
+    def search_reaching(self, queries: DataFrame, k: int, least: float) -> tuple[DataFrame, float]:
+        """(what search gives, its recall): probes and rerank are doubled until the recall over these queries, which are compared with every
+        row once, is at least so much and each has as many rows as there are. With all cells and rows the search is exact, so it ends."""
+        stage, probes, rerank = Stage(self.spark, "search"), self.spec.probes, self.spec.rerank
+        true, cells, n = stage(self.search_exactly(queries, k)), len(self.codebook().cells), self.load().count()
+        while True:
+            found = stage(self.search(queries, k, probes=probes, rerank=rerank))
+            recall, missing = _shared(true, found)
+            if recall >= least and not missing or probes >= cells and k * rerank >= n:
+                stage.drop(true)
+                return found, recall
+            stage.drop(found)
+            probes, rerank = 2 * probes, 2 * rerank
+
+
+def _shared(true: DataFrame, found: DataFrame) -> tuple[float, int]:
+    """The share of true's rows that were found, and by how many found has fewer rows."""
+    both = true.select("query_id", "datastore_id", F.lit(1).alias("_true")).join(found.select("query_id", "datastore_id", F.lit(1).alias("_hit")), ["query_id", "datastore_id"], "full")
+    of, hit, have = both.agg(F.count("_true"), F.count(F.when(F.col("_true") == F.col("_hit"), 1)), F.count("_hit")).first()
+    return (hit / of if of else 1.0), of - have
 
 
 _TEMPLATE = pa.schema([("kind", pa.string()), ("number", pa.int32()), ("code", pa.int32()), ("centre", pa.list_(pa.float64()))])

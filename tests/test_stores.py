@@ -69,6 +69,20 @@ def test_index_search(spark, store):
     assert index.search(asked.limit(0), 5).count() == 0
 
 
+def test_search_is_widened_until_its_recall_is_reached(spark, store):
+    store.indexes["rough"] = IndexSpec("rough", "v", cells=6, parts=2, codes=3, probes=1, rerank=1, chunks_per_shard=4, iterations=3)
+    index = store.index("rough")
+    index.build()
+    asked = store.df.where("id % 20 = 0")
+    assert index.recall(asked, 5) < 0.9
+    found, recall = index.search_reaching(asked, 5, 0.9)
+    assert found.count() == 75 and recall >= 0.9
+    true = {(r.query_id, r.datastore_id) for r in index.search_exactly(asked, 5).collect()}
+    assert len(true & {(r.query_id, r.datastore_id) for r in found.collect()}) == pytest.approx(recall * 75)
+    assert index.search_reaching(asked, 5, 1.0)[1] == 1.0
+    assert index.search_reaching(asked.limit(0), 5, 0.9)[1] == 1.0
+
+
 def test_filter_similar_reads_few_chunks(spark, store):
     store.index("pq").build()
     like = store.df.where("id = 7").select("v")
