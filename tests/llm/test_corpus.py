@@ -456,6 +456,22 @@ def test_dedup_lines_bounds_and_samples(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 0, 5: 1}
 
 
+def test_lines_of_a_buckets_main_part_do_not_meet(spark):
+    from itertools import combinations
+
+    # a bucket that is one part of 600 lines but for three, one of many parts, and one that is too small to be parted
+    table = [(1, i, 0 if i < 600 else i, 0, 1, 19) for i in range(603)] + [(2, i, i % 5, 0, 3, 1) for i in range(100)] + [(3, i, i % 2, None, 1, 0) for i in range(20)]
+    dealt = lines._dealt(spark.createDataFrame(table, "band long, id long, part long, main long, others int, mains int")).select("band", "id", "part", "c", "d.p", "d.q").collect()
+    # every line in each pair of blocks, as before, took 603 * 19 rows
+    assert sum(r.band == 1 for r in dealt) == 600 + 3 * 20
+    stood = {}
+    for r in dealt:
+        stood.setdefault((r.band, r.p, r.q), []).append(r)
+    met = [(band, *sorted((x.id, y.id))) for (band, p, q), rows in stood.items() for x, y in combinations(rows, 2) if x.part != y.part and (p == q or x.c != y.c)]
+    want = {(x[0], x[1], y[1]) for x, y in combinations(table, 2) if x[0] == y[0] and x[2] != y[2]}
+    assert len(met) == len(set(met)) and set(met) == want
+
+
 def test_dedup_lines_bounds_spare_comparisons(spark):
     """Letters give a lower bound of the edits; pieces find their way again after a long insertion, and one of them may be replaced."""
     rng = random.Random(8)
